@@ -4,13 +4,15 @@ How a link is found:
 
 1. A text's shingles are hashed with one 64-bit hash; the k smallest hashes are its sketch. Texts with equal sets
    form one class, of which only one representative goes on.
-2. Inverted lists over the retained values: a pair of similarity 0.8 shares over OVERLAP of its sketch but for a
-   chance of about 1e-6 a pair, so it shares one of each sketch's rarest values (rarest first by document
-   frequency); only these index a text, which keeps frequent shingles out of the lists.
-3. Each list has a pivot, its most central text. Pairs of pivot and member are verified on full sets; connected
-   components follow. This is linear in a group's size.
+2. Inverted lists over the retained values. A pair of similarity 0.8 shares over OVERLAP of its sketches (5 standard
+   errors), so it shares some of each sketch's rarest values, by document frequency; with the rest it is likely to share
+   most of these. Small sets are listed under each rare value, others under each run of RUN consecutive values with a
+   rare one, which texts that merely share frequent shingles hardly ever have in common (a pair of similarity 0.8 has no
+   such run in common with a chance of about 1e-7).
+3. Each list has a pivot, its most central text. Pairs of pivot and member whose union-sketch estimate leaves a link
+   possible (4 standard errors) are verified on full sets; connected components follow. This is linear in a group's size.
 4. What a pivot left apart is compared in blocks with all texts of the pivot's group: the union-sketch estimate
-   filters, exact Jaccard verifies. No pair of one component is looked at, and only survivors become rows.
+   filters, exact Jaccard verifies. A block passes on only links that join components, so rows stay linear here too.
 
 Nothing is capped. Full sets are compared as sets of 64-bit shingle hashes.
 """
@@ -28,8 +30,12 @@ from pyspark.sql import functions as F
 from stallkeeper.llm.common import written
 
 SKETCH = 64
-OVERLAP = 0.55  # of the smaller sketch, below which no pair of similarity 0.8 falls
-BLOCK = 512  # texts on either side of a block comparison
+OVERLAP = 0.55
+RUN = 3
+SMALL, LARGE = 25, 16  # sets below SMALL are listed under values, those of LARGE and more under runs
+MARGIN = 0.2  # by which an estimate may fall short: 4 standard errors at SKETCH values
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20  # texts on either side of a block comparison, and their shingles, about
+WANTED_BITS = 20  # 2 to so many buckets of ids at most are broadcast, to leave out most texts before a shuffle
 SALTS = 32  # parts into which the verification of one pivot's pairs is dealt
 
 
@@ -65,7 +71,7 @@ def _features(words: int):
                 n.append(len(own))
                 first.append((digest >> 64) - (1 << 63))
                 second.append((digest & (1 << 64) - 1) - (1 << 63))
-                sketch.append(own[:SKETCH].view(np.int64))
+                sketch.append((own[:SKETCH] ^ np.uint64(1 << 63)).view(np.int64))  # signed, in the same order
             at = np.concatenate([[0], np.cumsum([len(x) for x in sketch])]).astype(np.int32)
             values = pa.array(np.concatenate(sketch) if sketch else [], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(at), values)], ["id", "n", "sig1", "sig2", "sketch"])
@@ -117,74 +123,134 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _blocks(percent: int):
-    """Pairs of a block's queries and members of different components whose union-sketch estimate leaves a link possible."""
-
-    def run(pdf):
-        import pandas as pd
-
-        q, m = pdf[pdf.asks], pdf[~pdf.asks]
-        out = []
-        if len(q) and len(m):
-            sketches = [[np.asarray(s, np.int64).view(np.uint64) for s in side.sketch] for side in (q, m)]
-            values = [np.concatenate(s) for s in sketches]
-            shared = np.intersect1d(*map(np.unique, values))
-            if len(shared):
-                grids = []
-                for sk, v in zip(sketches, values, strict=True):
-                    row, col = np.repeat(np.arange(len(sk)), [len(s) for s in sk]), np.searchsorted(shared, v)
-                    hit = shared[np.minimum(col, len(shared) - 1)] == v
-                    grid = np.zeros((len(sk), len(shared)), np.float32)
-                    grid[row[hit], col[hit]] = 1
-                    grids.append(grid)
-                overlap = grids[0] @ grids[1].T
-                size_q, size_m = (np.array([len(s) for s in sk]) for sk in sketches)
-                comp_q, comp_m, n_q, n_m = q.comp.to_numpy(), m.comp.to_numpy(), q.n.to_numpy(), m.n.to_numpy()
-                apart = comp_q[:, None] != comp_m[None, :]
-                sized = 100 * np.minimum(n_q[:, None], n_m[None, :]) >= percent * np.maximum(n_q[:, None], n_m[None, :])
-                for i, j in zip(*np.nonzero(apart & sized & (overlap >= OVERLAP * np.minimum(size_q[:, None], size_m[None, :]))), strict=True):
-                    a, b = sketches[0][i], sketches[1][j]
-                    union = np.union1d(a, b)[:SKETCH]
-                    if np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() >= (percent / 100 - 0.2) * len(union):
-                        x, y = int(q.id.iloc[i]), int(m.id.iloc[j])
-                        out.append((max(x, y), min(x, y)))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+def _estimate(a: Column, b: Column, percent: int) -> Column:
+    """Whether the union-sketch estimate of two sketches leaves a similarity of percent possible."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(union, F.array_intersect(a, b))) >= F.size(union) * (percent / 100 - MARGIN)
+
+
+def _sized(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _block(asks: list[tuple], members: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between asking and member texts (id, component, set) that join components."""
+    comp: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while comp.setdefault(x, x) != x:
+            comp[x] = x = comp[comp[x]]
+        return x
+
+    sketches = [[r[2][:SKETCH] for r in side] for side in (asks, members)]
+    values = [np.concatenate(side) for side in sketches]
+    shared = np.intersect1d(*values)
+    if not len(shared):
+        return []
+    grids, sizes = [], []
+    for side, v in zip(sketches, values, strict=True):
+        size = np.array([len(x) for x in side])
+        at = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
+        hit = shared[at] == v
+        grid = np.zeros((len(side), len(shared)), np.float32)
+        grid[np.repeat(np.arange(len(side)), size)[hit], at[hit]] = 1
+        grids.append(grid)
+        sizes.append(size)
+    comps, ns = [np.array([r[1] for r in side]) for side in (asks, members)], [np.array([len(r[2]) for r in side]) for side in (asks, members)]
+    least = percent / 100 - MARGIN
+    overlap = grids[0] @ grids[1].T
+    enough = overlap >= least * np.minimum(sizes[0][:, None], sizes[1][None, :])
+    enough &= (comps[0][:, None] != comps[1][None, :]) & (100 * np.minimum(ns[0][:, None], ns[1][None, :]) >= percent * np.maximum(ns[0][:, None], ns[1][None, :]))
+    i, j = np.nonzero(enough)
+    out = []
+    for k in np.argsort(-overlap[i, j], kind="stable"):  # the likeliest links first: they spare others
+        (x, comp_x, a), (y, comp_y, b) = asks[i[k]], members[j[k]]
+        if find(comp_x) != find(comp_y):
+            union = np.union1d(a[:SKETCH], b[:SKETCH])[:SKETCH]
+            if np.isin(union, np.intersect1d(a[:SKETCH], b[:SKETCH], assume_unique=True), assume_unique=True).sum() >= least * len(union) and similar(a, b, percent):
+                comp[find(comp_x)] = find(comp_y)
+                out.append((x, y))
+    return out
+
+
+def _blocks(words: int, percent: int):
+    """Over rows sorted by block: a block's rows (of bounded size) are gathered and compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+
+        def links() -> list[tuple[int, int]]:
+            return _block(*sides, percent) if all(sides) else []
+
+        for batch in batches:
+            found = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("pivot", "size", "i", "j", "asks", "id", "comp")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
+            for *now, asks, x, comp, text in rows:
+                if now != key:
+                    found += links()
+                    key, sides = now, ([], [])
+                sides[not asks].append((x, comp, shingle_hashes(text or b"", words)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        found = links()
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _left_apart(stars: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components within a pivot's group, pivots left out: their pairs are verified."""
-    members = written(stars.join(labels, stars.b == labels.node, "left").select("a", F.col("b").alias("id"), F.coalesce("comp", "b").alias("comp")), "members")
-    groups = members.groupBy("a", "comp").agg(F.count("*").alias("c")).groupBy("a").agg(F.sum("c").alias("m"), F.max("c").alias("largest"), F.max(F.struct("c", "comp")).alias("main"))
-    groups = groups.where("m > largest").select(F.col("a").alias("pivot"), F.col("main.comp").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("m") - F.col("largest")) / BLOCK).cast("int").alias("query_parts"))
-    rows = members.join(groups, members.a == groups.pivot).join(classes.select(F.col("rep").alias("id"), "n", "sketch"), "id")
-    rows = rows.withColumn("size", F.floor(F.ln("n") / float(np.log(100 / percent))).cast("int"))  # similar sets stand at most 1 apart
+def _left_apart(stars: DataFrame, labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components within a pivot's group, pivots left out: their pairs are verified."""
+    members = written(stars.join(labels, stars.b == labels.node, "left").select("a", F.col("b").alias("id"), "n", F.coalesce("comp", "b").alias("comp")), "members")
+    groups = members.groupBy("a", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("a").agg(F.sum("c").alias("m"), F.sum("s").alias("shingles"), F.max(F.struct("c", "comp", "s")).alias("main"))
+    parts = lambda count, shingles: F.ceil(F.greatest(count / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    groups = groups.where("m > main.c").select(F.col("a").alias("pivot"), F.col("main.comp").alias("main"), parts(F.col("m"), F.col("shingles")).alias("parts"), parts(F.col("m") - F.col("main.c"), F.col("shingles") - F.col("main.s")).alias("ask_parts"))
+    rows = members.join(groups, members.a == groups.pivot)
+    rows = rows.withColumn("size", F.when(F.col("parts") > 1, F.floor(F.ln("n") / float(np.log(100 / percent)))).otherwise(0).cast("int"))  # similar sets stand at most 1 apart
     spread = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     part = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
-    out = ["pivot", "size", "i", "j", "asks", "id", "comp", "n", "sketch"]
-    m = rows.withColumn("asks", F.lit(False)).withColumn("i", part("parts")).withColumn("j", spread("query_parts")).select(out)
-    q = rows.where("comp != main").withColumn("asks", F.lit(True)).withColumn("j", part("query_parts")).withColumn("i", spread("parts"))
-    q = q.withColumn("size", F.explode(F.array(*(F.col("size") + d for d in (-1, 0, 1))))).select(out)
-    return m.unionByName(q).groupBy("pivot", "size", "i", "j").applyInPandas(_blocks(percent), "a long, b long").distinct()
+    keys = ["pivot", "size", "i", "j"]
+    out = [*keys, "asks", "id", "comp"]
+    m = rows.withColumn("asks", F.lit(False)).withColumn("i", part("parts")).withColumn("j", spread("ask_parts")).select(out)
+    q = rows.where("comp != main").withColumn("asks", F.lit(True)).withColumn("j", part("ask_parts")).withColumn("i", spread("parts"))
+    near = F.when(F.col("parts") > 1, F.array(*(F.col("size") + d for d in (-1, 0, 1)))).otherwise(F.array("size"))
+    q = q.withColumn("size", F.explode(near)).select(out)
+    tasks = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return m.unionByName(q).join(texts, "id").select(*out, "text").repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(_blocks(words, percent), "a long, b long").distinct()
+
+
+def _keys() -> tuple[Column, Column]:
+    """Of vals (a text's values that other texts have too, as structs df, value, pos, rarest first): its lists."""
+    kept = F.least("n", F.lit(SKETCH)).cast("int")
+    rare = kept - F.ceil(kept * OVERLAP).cast("int") + 1 - (kept - F.size("vals"))  # values that no other text has come first
+    marked = F.array_sort(F.transform("vals", lambda v, i: F.struct(v["pos"].alias("pos"), v["value"].alias("value"), (i < rare).alias("rare"))))
+    alone = F.when(F.col("n") < SMALL, F.transform(F.filter("marked", lambda v: v["rare"]), lambda v: v["value"]))
+    at = lambda i, k: F.get(F.col("marked"), i + k)
+    run = lambda i: (at(i, RUN - 1)["pos"] - at(i, 0)["pos"] == RUN - 1) & F.exists(F.slice("marked", i + 1, RUN), lambda v: v["rare"])
+    starts = F.filter(F.sequence(F.lit(0), F.size("marked") - RUN), run)
+    runs = F.when((F.col("n") >= LARGE) & (F.size("marked") >= RUN), F.transform(starts, lambda i: F.xxhash64(F.lit(RUN), *(at(i, k)["value"] for k in range(RUN)))))
+    none = F.array().cast("array<bigint>")
+    return marked, F.concat(F.coalesce(alone, none), F.coalesce(runs, none))
 
 
 def classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per text features; classes of equal sets (rep, n, sketch and signature); labels of representatives that have links."""
     own = written(features(docs, words), "features")
     classes = written(own.where("n > 0 and id is not null").groupBy("sig1", "sig2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    posts = classes.select("rep", "n", F.explode("sketch").alias("value"))
+    posts = classes.select("rep", "n", F.posexplode("sketch").alias("pos", "value"))
     shared = posts.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = posts.join(shared, "value").groupBy("rep").agg(F.first("n").alias("n"), F.sum("df").alias("central"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vals"))
-    kept = F.least("n", F.lit(SKETCH)).cast("int")
-    prefix = kept - F.ceil(kept * OVERLAP).cast("int") + 1 - (kept - F.size("vals"))  # values that no other text has come first
-    index = written(ranked.withColumn("prefix", prefix).where("prefix > 0").select("rep", "central", F.explode(F.slice("vals", F.lit(1), F.col("prefix"))).alias("v")).select("rep", "central", "v.value"), "index")
-    pivots = index.groupBy("value").agg(F.max(F.struct("central", -F.col("rep"))).alias("p"), F.count("*").alias("m")).where("m > 1").select("value", (-F.col("p.col2")).alias("a"))
-    stars = written(index.join(pivots, "value").where("a != rep").select("a", F.col("rep").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    texts = written(docs.join(wanted, "id", "left_semi").select("id", "text"), "texts")
-    links = written(verify(stars, texts, words, percent), "verified")
-    more = written(verify(_left_apart(stars, components(links), classes, percent), texts, words, percent), "verified")
+    ranked = posts.join(shared, "value").groupBy("rep").agg(F.first("n").alias("n"), F.sum("df").alias("central"), F.sort_array(F.collect_list(F.struct("df", "value", "pos"))).alias("vals"))  # SKETCH values at most
+    marked, keys = _keys()
+    index = written(ranked.withColumn("marked", marked).select("rep", "n", "central", F.explode(keys).alias("key")), "index")
+    pivots = index.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("r"))).alias("p"), F.count("*").alias("m")).where("m > 1").select("key", (-F.col("p.r")).alias("a"))
+    stars = written(index.join(pivots, "key").where("a != rep").select("a", F.col("rep").alias("b"), "n").distinct(), "stars")
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    near = stars.select("a", "b").join(side("b"), "b").join(side("a"), "a").where(_sized(F.col("n_a"), F.col("n_b"), percent)).where(_estimate(F.col("s_a"), F.col("s_b"), percent))
+    near = written(near.select("a", "b"), "near")
+    wanted = written(stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), "wanted")
+    bucket = F.pmod(F.xxhash64("id"), F.lit(1 << WANTED_BITS)).alias("bucket")
+    rough = docs.select("id", "text", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi")  # at most 2 ** WANTED_BITS numbers
+    texts = written(rough.join(wanted, "id", "left_semi").select("id", "text"), "texts")
+    links = written(verify(near, texts, words, percent), "verified")
+    more = written(_left_apart(stars, components(links), texts, words, percent), "joined")
     return own, classes, components(links.unionByName(more))
 
 
