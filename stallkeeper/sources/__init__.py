@@ -1,0 +1 @@
+"""Readers: paged listing feeds, nested book snapshots, item bytes."""

@@ -1,0 +1 @@
+"""Continuous forms: listings until sold or given up, windows, deduplication, positions."""
