@@ -154,3 +154,34 @@ def newest_sales(sales: DataFrame, n: int) -> DataFrame:
 
 def rank_of(cols: list[str], order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*cols).orderBy(*order))
+
+
+def star_significance(sales: DataFrame, c: Pricing, bare: Column) -> DataFrame:
+    """Stars (bare key, stars) whose sales' median lies far enough above the base value of the bare key."""
+    own = sales.withColumn("bare", bare)
+    base = o.at_share(own, ["bare"], "price", {"base_value": 0.20}, ["sale_id"]).select("bare", "base_value")
+    groups = own.where("stars > 0").groupBy("bare", "stars").agg(F.count("*").alias("n"), F.median("price").alias("median"))
+    return groups.join(base, "bare").where((F.col("n") >= c.min_samples) & (F.col("median") - F.col("base_value") >= c.min_share * F.col("base_value")))
+
+
+def widened(sales: DataFrame, key: str, now: float, hours: list[float], least: int) -> DataFrame:
+    """Per key the median over the smallest of ascending windows with least sales or more, else over the widest, which
+    may hold fewer; keys without any there are left out."""
+    inside = [F.col("sold_at") >= now - h * 3600 for h in hours]
+    counts = [F.count(F.when(x, 1)).alias(f"n{i}") for i, x in enumerate(inside)]
+    medians = [F.median(F.when(x, F.col("price"))).alias(f"m{i}") for i, x in enumerate(inside)]
+    rungs = sales.where(inside[-1]).groupBy(key).agg(*counts, *medians)
+    pick = lambda c: F.coalesce(*(F.when(F.col(f"n{i}") >= least, F.col(f"{c}{i}")) for i in range(len(hours))), F.col(f"{c}{len(hours) - 1}"))
+    return rungs.select(key, pick("m").alias("median"), pick("n").alias("n"))
+
+
+def dispersion(prices: Column, median: Column, sd: Column, robust: bool) -> Column:
+    """Spread of an ascending array over its median, 1 at most: standard deviation, or interquartile range / 1.349."""
+    spread = (o.rank_percentile(prices, 0.75) - o.rank_percentile(prices, 0.25)) / 1.349 if robust else sd
+    return F.when(median > 0, F.least(spread / median, F.lit(1.0))).otherwise(1.0)
+
+
+def binding_feature_floor(listings: DataFrame, groups: DataFrame, gap: float) -> DataFrame:
+    """listings (uuid, bk, features, target): the least median of their features below target * (1 - gap)."""
+    own = listings.select("uuid", "bk", "target", F.explode("features").alias("feature")).join(groups.select("bk", "feature", "median"), ["bk", "feature"])
+    return own.where(F.col("median") < F.col("target") * (1 - gap)).groupBy("uuid").agg(F.min("median").alias("floor"))

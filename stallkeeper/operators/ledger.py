@@ -63,3 +63,34 @@ def band_match(asks: DataFrame, book: DataFrame, share: float = 0.001, least: fl
     """asks (id, fk, price) to the cheapest listing of the key within share of the price (least at least)."""
     near = asks.join(book.select("fk", F.col("uuid"), F.col("price").alias("p")), "fk").where(F.abs(F.col("p") - F.col("price")) <= F.greatest(F.col("price") * share, F.lit(least)))
     return near.groupBy("id").agg(F.min_by("uuid", F.struct("p", "uuid")).alias("uuid"))
+
+
+def sighting(flips: DataFrame, sightings: DataFrame) -> DataFrame:
+    """flips with the seller and time of the sighting of the same (item, price), null without one."""
+    return flips.join(sightings.select("item", "price", F.col("seller").alias("seen_seller"), F.col("at").alias("seen_at")), ["item", "price"], "left")
+
+
+def fill_row(paid: Column, got: Column, units: Column, tax: float) -> dict[str, Column]:
+    """Derived columns of a ledger row from unit prices."""
+    gross, cost = got * units, paid * units
+    net = gross * (1 - tax) - cost
+    return {"gross": gross, "tax": gross * tax, "net": net, "roi": F.when(cost > 0, net / cost)}
+
+
+def gone(ledger: DataFrame, inventory: DataFrame, now: float, grace: float = 180) -> DataFrame:
+    """Bought, unsold items, bought longer than grace seconds ago, that the inventory doesn't hold."""
+    held = ledger.where(F.col("bought_at").isNotNull() & F.col("sold_at").isNull() & (F.col("bought_at") < now - grace))
+    return held.join(inventory.select("item_id").distinct(), "item_id", "left_anti")
+
+
+def bought_variant(ledger: DataFrame) -> DataFrame:
+    """Per item_id the variant (behind ~, else empty) of the key that was posted last."""
+    last = ledger.groupBy("item_id").agg(F.max_by("bk", F.struct("posted_at", "uuid")).alias("bk"))
+    return last.select("item_id", F.regexp_extract("bk", r"~(.*)$", 1).alias("variant"))
+
+
+def best_orphan(holdings: DataFrame, tracked: DataFrame, prices: DataFrame) -> DataFrame:
+    """Per owner, of holdings (owner, product, units) that no position (owner, product) tracks, the one worth most."""
+    loose = holdings.join(tracked.select("owner", "product"), ["owner", "product"], "left_anti").join(prices.select("product", "price"), "product")
+    worth = F.col("units") * F.col("price")
+    return loose.groupBy("owner").agg(F.max_by("product", F.struct(worth, "product")).alias("product"), F.max(worth).alias("worth"))
