@@ -21,12 +21,13 @@ def route(listings: DataFrame, live: DataFrame) -> DataFrame:
     return listings.join(seen, "uuid", "left").withColumn("route", said).drop("__seen")
 
 
-def ineligible(min_free: float, most_auctions: float, spend: float, purse_share: float, big_purse: float, full_profit: float, full_used: float) -> Column:
+def ineligible(min_free: float, most_auctions: float, spend: float, purse_share: float, big_purse: float, full_profit: float, full_used: float, full_free: float = 0) -> Column:
     """Why a client (free, auctions, purse, at_limit, used) can't take a flip (price, profit), else null: no free slots, a
-    full house, too large a share of the purse, or a profit below a big purse's or a full inventory's floor. A threshold of 0 is off."""
+    full house, too large a share of the purse, or a profit below a big purse's or a full inventory's floor. A
+    client that doesn't say at_limit and used counts as full with full_free free slots or fewer. A threshold of 0 is off."""
     on = lambda x: F.lit(x > 0)
     share = F.when(on(purse_share) & (F.col("purse") > big_purse), F.col("purse") * purse_share).otherwise(0.0)
-    full = on(full_profit) & (F.lit(full_profit) > share) & F.col("at_limit") & (F.col("used") >= full_used)
+    full = on(full_profit) & (F.lit(full_profit) > share) & F.coalesce(F.when(F.col("used").isNotNull(), F.col("at_limit") & (F.col("used") >= full_used)), F.col("free") <= full_free, F.lit(False))
     floor = F.when(full, full_profit).otherwise(share)
     return first_reason(
         (on(min_free) & (F.col("free") < min_free), "slots"), (on(most_auctions) & (F.col("auctions") >= most_auctions), "auctions"),
@@ -34,9 +35,11 @@ def ineligible(min_free: float, most_auctions: float, spend: float, purse_share:
     )
 
 
-def base_decision(hard_profit: float, blacklist: list[str], tier_passes: Column) -> Column:
-    """The first of: hard profit floor, blacklist (ids upper-cased), tiers; null where the flip passes all."""
-    return first_reason((F.lit(hard_profit > 0) & (F.col("profit") < hard_profit), "hard"), (F.upper("item").isin([b.upper() for b in blacklist]), "blacklist"), (~tier_passes, "tiers"))
+def base_decision(hard_profit: float, blacklist: list[str], tier_passes: Column, blocked: list[str] | None = None) -> Column:
+    """The first of: hard profit floor, blacklist (ids upper-cased), a blocked part of the column guard, tiers; null where
+    the flip passes all."""
+    guards = [(F.col("guard").contains(g), "guard") for g in blocked or [] if g]
+    return first_reason((F.lit(hard_profit > 0) & (F.col("profit") < hard_profit), "hard"), (F.upper("item").isin([b.upper() for b in blacklist]), "blacklist"), *guards, (~tier_passes, "tiers"))
 
 
 def not_own(listings: DataFrame, auctions: DataFrame, items: DataFrame) -> DataFrame:

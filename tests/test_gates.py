@@ -15,10 +15,10 @@ def test_trade_messages(spark):
 
 
 def test_client_floor_of_a_big_purse_and_a_full_inventory(spark):
-    rows = [(1, 9, 1, 1e6, False, 0, 10.0, 5000.0), (2, 0, 1, 1e6, False, 0, 10.0, 5e4), (3, 9, 1, 1e5, True, 30, 10.0, 5000.0), (4, 9, 1, 1e5, False, 30, 10.0, 5000.0), (5, 9, 1, 100.0, False, 0, 90.0, 5000.0), (6, None, None, None, None, None, 10.0, 5000.0)]
+    rows = [(1, 9, 1, 1e6, False, 0, 10.0, 5000.0), (2, 0, 1, 1e6, False, 0, 10.0, 5e4), (3, 9, 1, 1e5, True, 30, 10.0, 5000.0), (4, 9, 1, 1e5, False, 30, 10.0, 5000.0), (5, 9, 1, 100.0, False, 0, 90.0, 5000.0), (6, None, None, None, None, None, 10.0, 5000.0), (7, 3, 1, 1e5, None, None, 10.0, 5000.0)]
     df = spark.createDataFrame(rows, "id int, free int, auctions int, purse double, at_limit boolean, used int, price double, profit double")
-    found = {r.id: r.why for r in df.select("id", gates.ineligible(2, 14, 0.5, 0.02, 2e5, 8000, 20).alias("why")).collect()}
-    assert found == {1: "floor", 2: "slots", 3: "full", 4: None, 5: "purse", 6: None}
+    found = {r.id: r.why for r in df.select("id", gates.ineligible(2, 14, 0.5, 0.02, 2e5, 8000, 20, 3).alias("why")).collect()}
+    assert found == {1: "floor", 2: "slots", 3: "full", 4: None, 5: "purse", 6: None, 7: "full"}
 
 
 def test_routes_of_empty_and_repeated_rows(spark):
@@ -34,3 +34,10 @@ def test_best_orphan(spark):
     h = spark.createDataFrame([("x", "a", 2.0), ("x", "b", 1.0), ("y", "a", 1.0)], "owner string, product string, units double")
     prices = spark.createDataFrame([("a", 3.0), ("b", 5.0)], "product string, price double")
     assert [tuple(r) for r in ledger.best_orphan(h, h.where("owner = 'y'"), prices).collect()] == [("x", "a", 6.0)]
+
+
+def test_base_decision_order(spark):
+    rows = [(1, "a", 1.0, None), (2, "bad", 9.0, "x"), (3, "a", 9.0, "risky,thin"), (4, "a", 9.0, None), (5, "a", 9.0, "x")]
+    df = spark.createDataFrame(rows, "id int, item string, profit double, guard string")
+    found = df.select("id", gates.base_decision(5, ["Bad"], F.col("id") < 5, ["thin", ""]).alias("why"))
+    assert {r.id: r.why for r in found.collect()} == {1: "hard", 2: "blacklist", 3: "guard", 4: None, 5: "tiers"}
