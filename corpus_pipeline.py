@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stallkeeper.llm import decontam, line_dedup, near_dup, packing, toxicity
-from stallkeeper.llm.common import new_path, read
+from stallkeeper.llm.common import new_path, read, written
 from stallkeeper.llm.queries import TOKENIZER, toxic_labels
 
 
@@ -15,10 +15,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; n_chars follows the text."""
+    """Repeated lines go, then repeated passages; n_chars follows the text."""
     from pyspark.sql import functions as F
 
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    by_line = written(line_dedup.dedup_lines(docs).select(docs.columns), "lines")
+    return line_dedup.dedup_passages(by_line).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

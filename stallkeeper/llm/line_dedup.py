@@ -7,11 +7,13 @@ others are templates of their own (digits masked). A template found in MIN_DOCS
 first line stays, the others are dropped.
 
 Exact copies of a whole document count as one document, so groups of copies are left to near-duplicate detection.
+
+A passage that recurs inside longer lines is no line of its own: dedup_passages() finds it by clauses.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallkeeper.llm.common import written
@@ -85,3 +87,62 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in kept), n_lines.alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+# Passages inside longer lines or over several lines
+
+PASSAGE = 35  # words in whole clauses that a window must exceed: of a passage of over 50 words, up to 15 may lie in clauses cut at its ends
+_ENDS = r"(?<=\n)(?=[^\S\n]*\S)|(?<=[.!?,;:…] )(?=\S)|(?<=[。！？，])(?=\S)"  # a cut behind the end of a clause or line
+
+
+def _clauses(docs: DataFrame) -> DataFrame:
+    """A row per clause that isn't blank: doc, print, size (words of the text), at (clause number), words, clause (hash, digits masked)."""
+    size = F.length("text") - F.length(F.translate("text", " \n", "")) + 1
+    rows = docs.select("doc", F.xxhash64("text").alias("print"), size.alias("size"), F.posexplode(F.split("text", _ENDS)).alias("at", "raw")).withColumn("raw", F.trim("raw", F.lit(" \n\r\t"))).where("raw != ''")
+    words = F.length("raw") - F.length(F.replace("raw", F.lit(" "), F.lit(""))) + 1
+    return rows.select("doc", "print", "size", "at", words.cast("long").alias("words"), F.xxhash64(_masked(F.col("raw"))).alias("leaf"))
+
+
+def dropped_clauses(docs: DataFrame, min_docs: int = MIN_DOCS, words: int = PASSAGE) -> DataFrame:
+    """Of docs (doc, text): doc, print and drop (clause numbers from 0, a set) of those that lose clauses.
+
+    A passage consists of clauses that each recur, so only runs of these are looked at. From each clause of a run forth
+    and back, the fewest that exceed words are a window; together the windows in a passage cover all of it."""
+    clauses = _clauses(docs)
+    hot = written(_recurring(clauses, "leaf", min_docs).select("leaf"), "clauses")
+    near = F.broadcast(hot.select(_bucket().alias("bucket")).distinct())  # at most 2 ** FILTER_BITS integers
+    found = clauses.withColumn("bucket", _bucket()).join(near, "bucket", "left_semi").join(hot, "leaf", "left_semi").drop("bucket").distinct()
+    run = found.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("doc", "print").orderBy("at")))
+    one = Window.partitionBy("doc", "print", "run")
+    run = run.withColumn("upto", F.sum("words").over(one.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("words"))
+    run = written(run.withColumn("all", F.sum("words").over(one)).where(F.col("all") > words).drop("all"), "runs")
+
+    def windows(frame):
+        of = lambda c: c.over(frame)
+        made = run.select("doc", "print", "size", of(F.min("at")).alias("at"), of(F.max("at")).alias("to"), of(F.sum("words")).alias("words"), of(F.collect_list("leaf")).alias("leaves"))
+        return made.where(F.col("words") > words).select("doc", "print", "size", "at", "to", F.xxhash64("leaves").alias("window"))
+
+    units = written(windows(one.orderBy("before").rangeBetween(0, words)).union(windows(one.orderBy("upto").rangeBetween(-words, 0))).distinct(), "windows")
+    first = units.groupBy("window").agg(F.min(F.struct("doc", "at", "print", "to", "size")).alias("first"))
+    gone = units.join(_recurring(units, "window", min_docs).join(first, "window"), "window")
+    own = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("print") == F.col("first.print")) & (F.col("at") <= F.col("first.to"))  # the first one, or over it
+    gone = gone.where(~own).select("doc", "print", F.explode(F.sequence("at", "to")).alias("at"))
+    return gone.groupBy("doc", "print").agg(F.collect_set("at").alias("drop"))
+
+
+def dedup_passages(docs: DataFrame, min_docs: int = MIN_DOCS, words: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with text_col rid of passages of more than words words, in whole clauses, that
+    recur (digits masked) in min_docs different texts, whatever stands before or behind them.
+
+    The first occurrence by id and place stays. What stays is unchanged; a line break stays where a dropped clause ended
+    a line. Null texts stay null."""
+    own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
+    gone = dropped_clauses(own, min_docs, words).select(F.col("doc").alias("__doc"), F.col("print").alias("__print"), F.col("drop").alias("__drop"))
+    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__print")), "left")
+    joined = joined.withColumn("__parts", F.when(F.col("__drop").isNotNull(), F.split(text_col, _ENDS)))
+    parts = F.col("__parts")
+    ends = lambda x: F.endswith(x, F.lit("\n"))
+    inside = lambda i: (i > 0) & ~ends(F.get(parts, i - 1))
+    kept = F.transform(parts, lambda x, i: F.when(~F.array_contains("__drop", i), x).when(ends(x) & inside(i), "\n").otherwise(""))
+    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
