@@ -92,18 +92,27 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id
 # Passages inside longer lines or over several lines
 
 PASSAGE = 35  # words in whole clauses that a window must exceed: of a passage of over 50 words, up to 15 may lie in clauses cut at its ends
+PASSAGE_DOCS = 2  # so long a passage isn't in two texts by chance
 _ENDS = r"(?<=\n)(?=[^\S\n]*\S)|(?<=[.!?,;:…] )(?=\S)|(?<=[。！？，])(?=\S)"  # a cut behind the end of a clause or line
 
 
 def _clauses(docs: DataFrame) -> DataFrame:
     """A row per clause that isn't blank: doc, print, size (words of the text), at (clause number), words, clause (hash, digits masked)."""
-    size = F.length("text") - F.length(F.translate("text", " \n", "")) + 1
-    rows = docs.select("doc", F.xxhash64("text").alias("print"), size.alias("size"), F.posexplode(F.split("text", _ENDS)).alias("at", "raw")).withColumn("raw", F.trim("raw", F.lit(" \n\r\t"))).where("raw != ''")
+    size = F.length("text") - F.length(F.replace(F.replace("text", F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))) + 1
+    texts = docs.select("doc", "text", F.xxhash64("text").alias("print"), size.cast("long").alias("size"))  # once a text, not once a clause
+    rows = texts.select("doc", "print", "size", F.posexplode(F.split("text", _ENDS)).alias("at", "raw")).withColumn("raw", F.trim("raw", F.lit(" \n\r\t"))).where("raw != ''")
     words = F.length("raw") - F.length(F.replace("raw", F.lit(" "), F.lit(""))) + 1
     return rows.select("doc", "print", "size", "at", words.cast("long").alias("words"), F.xxhash64(_masked(F.col("raw"))).alias("leaf"))
 
 
-def dropped_clauses(docs: DataFrame, min_docs: int = MIN_DOCS, words: int = PASSAGE) -> DataFrame:
+def _copies(spans: DataFrame, min_docs: int) -> DataFrame:
+    """print and other: pairs of texts of which the passages that no third text has make up half of either text or more."""
+    cells = spans.where((F.col("n_docs") < min_docs) & (F.col("print") != F.col("other"))).select("print", "other", "size", "other_size", "cell").distinct()
+    both = cells.groupBy("print", "other").agg(F.sum("cell.words").alias("shared"), F.max(F.greatest("size", "other_size")).alias("larger"))
+    return both.where(F.col("shared") * 2 >= F.col("larger")).select("print", "other")
+
+
+def dropped_clauses(docs: DataFrame, min_docs: int = PASSAGE_DOCS, words: int = PASSAGE) -> DataFrame:
     """Of docs (doc, text): doc, print and drop (clause numbers from 0, a set) of those that lose clauses.
 
     A passage consists of clauses that each recur, so only runs of these are looked at. From each clause of a run forth
@@ -119,20 +128,23 @@ def dropped_clauses(docs: DataFrame, min_docs: int = MIN_DOCS, words: int = PASS
 
     def windows(frame):
         of = lambda c: c.over(frame)
-        made = run.select("doc", "print", "size", of(F.min("at")).alias("at"), of(F.max("at")).alias("to"), of(F.sum("words")).alias("words"), of(F.collect_list("leaf")).alias("leaves"))
-        return made.where(F.col("words") > words).select("doc", "print", "size", "at", "to", F.xxhash64("leaves").alias("window"))
+        made = run.select("doc", "print", "size", of(F.min("at")).alias("at"), of(F.max("at")).alias("to"), of(F.sum("words")).alias("words"), of(F.collect_list("leaf")).alias("leaves"), of(F.collect_list(F.struct("at", "words"))).alias("cells"))
+        return made.where(F.col("words") > words).select("doc", "print", "size", "at", "to", F.xxhash64("leaves").alias("window"), "cells")
 
     units = written(windows(one.orderBy("before").rangeBetween(0, words)).union(windows(one.orderBy("upto").rangeBetween(-words, 0))).distinct(), "windows")
     first = units.groupBy("window").agg(F.min(F.struct("doc", "at", "print", "to", "size")).alias("first"))
     gone = units.join(_recurring(units, "window", min_docs).join(first, "window"), "window")
     own = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("print") == F.col("first.print")) & (F.col("at") <= F.col("first.to"))  # the first one, or over it
-    gone = gone.where(~own).select("doc", "print", F.explode(F.sequence("at", "to")).alias("at"))
-    return gone.groupBy("doc", "print").agg(F.collect_set("at").alias("drop"))
+    spans = written(gone.where(~own).select("doc", "print", "size", "n_docs", F.col("first.print").alias("other"), F.col("first.size").alias("other_size"), F.explode("cells").alias("cell")), "spans")
+    copies = _copies(spans, MIN_DOCS).withColumn("copy", F.lit(True))
+    spans = spans.join(copies, ["print", "other"], "left").where((F.col("n_docs") >= MIN_DOCS) | F.col("copy").isNull())
+    return spans.groupBy("doc", "print").agg(F.collect_set("cell.at").alias("drop"))
 
 
-def dedup_passages(docs: DataFrame, min_docs: int = MIN_DOCS, words: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_passages(docs: DataFrame, min_docs: int = PASSAGE_DOCS, words: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with text_col rid of passages of more than words words, in whole clauses, that
-    recur (digits masked) in min_docs different texts, whatever stands before or behind them.
+    recur (digits masked) in min_docs different texts, whatever stands before or behind them. Two texts that are half or
+    more the same, by passages that no third text has, keep these: near-duplicate detection is for such pairs.
 
     The first occurrence by id and place stays. What stays is unchanged; a line break stays where a dropped clause ended
     a line. Null texts stay null."""

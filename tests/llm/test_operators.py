@@ -209,6 +209,17 @@ def test_passages_inside_longer_lines_are_dropped(spark):
     assert out[10] == docs[4][1].replace(passage, "") and out[11] == docs[5][1].replace(passage, "")
 
 
+def test_long_passages_of_two_texts_are_dropped_but_not_of_near_copies(spark):
+    r = random.Random(9)
+    words = lambda n: " ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(n))
+    long, short, most = words(60), words(12), words(200)
+    docs = [(1, f"{words(70)}\n{long}\n{short}"), (2, f"{words(80)}\n{long}\n{short}"), (3, f"{most}\n{words(40)}"), (4, f"{most}\n{words(40)}"), (5, f"{words(400)}\n{short[:40]}\n{most[::-1]}"), (6, most[::-1])]
+    docs += [(2, docs[1][1]), (7, docs[0][1])]  # copies of whole texts count once
+    out = {x.doc_id: x.text for x in line_dedup.dedup_passages(spark.createDataFrame(docs, DOCS)).collect()}
+    assert [out[k] for k in (1, 3, 4, 5)] == [docs[k - 1][1] for k in (1, 3, 4, 5)]
+    assert out[2] == docs[1][1].replace(f"{long}\n{short}", "") and out[6] == ""
+
+
 # Packing
 
 
