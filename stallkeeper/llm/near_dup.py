@@ -10,7 +10,7 @@ How a link is found:
    rare one, which texts that merely share frequent shingles hardly ever have in common (a pair of similarity 0.8 has no
    such run in common with a chance of about 1e-7).
 3. Each list has a pivot, its most central text. Pairs of pivot and member whose union-sketch estimate leaves a link
-   possible (4 standard errors) are verified on full sets; connected components follow. This is linear in a group's size.
+   possible (7 standard errors) are verified on full sets; connected components follow. This is linear in a group's size.
 4. What a pivot left apart is compared in blocks with all texts of the pivot's group: the union-sketch estimate
    filters, exact Jaccard verifies. A block passes on only links that join components, so rows stay linear here too.
 
@@ -33,7 +33,7 @@ SKETCH = 64
 OVERLAP = 0.55
 RUN = 3
 SMALL, LARGE = 25, 16  # sets below SMALL are listed under values, those of LARGE and more under runs
-MARGIN = 0.2  # by which an estimate may fall short: 4 standard errors at SKETCH values
+MARGIN = 0.35  # by which an estimate may fall short: 7 standard errors at SKETCH values
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20  # texts on either side of a block comparison, and their shingles, about
 WANTED_BITS = 20  # 2 to so many buckets of ids at most are broadcast, to leave out most texts before a shuffle
 SALTS = 32  # parts into which the verification of one pivot's pairs is dealt

@@ -1,8 +1,10 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
+from stallkeeper.llm import near_dup
 from stallkeeper.llm.near_dup import drop_near_duplicates, near_duplicates
 
 SCHEMA = "doc_id long, text string"
@@ -72,6 +74,15 @@ def test_empty_table_and_clashing_columns(spark):
     assert [tuple(r) for r in drop_near_duplicates(docs).collect()] == [(1, "a b c d e f", 5, 7, "x")]
 
 
+@pytest.mark.parametrize("seed", [76598])
+def test_links_of_unlucky_sketches_are_kept(spark, seed):
+    """Of the pair's 64 union values 38 or fewer are in common, though 560 of its 700 shingles are."""
+    w = [f"w{k}" for k in np.random.default_rng(seed).integers(0, 100_000, 700)]
+    rows = [(1, " ".join(w[:630])), (2, " ".join(w[:560] + w[630:]))]
+    assert [near_dup.similar(*(near_dup.shingle_hashes(t.encode(), 1) for _, t in rows), 80)] == [True]
+    assert {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), 1).collect()} == {1: 1, 2: 1}
+
+
 def test_percent_below_the_sketches_reach_is_refused(spark):
     with pytest.raises(ValueError):
         near_duplicates(spark.createDataFrame([], SCHEMA), percent=50)
