@@ -1,9 +1,10 @@
 """WARC archives without repeated payloads.
 
 Headers (digest, size, page) are shuffled by payload digest, not payloads: the smallest page of a digest keeps the
-payload as a response, the others become revisit records that name it. Records are written as text by Spark's own
-writer, with the record separator as line separator, so any shared store will do; archives are of bounded size, and read
-by Content-Length.
+payload as a response, the others become revisit records that name it. What goes back to the pages is only which page
+refers to which; payloads are dealt to archives once, by a hash of the page, so copies of one payload never meet.
+Records are written as text by Spark's own writer, with the record separator as line separator, so any shared store will
+do. Archives hold about ARCHIVE_BYTES of records; an archive is one compressed stream, and is read by Content-Length.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.llm.common import new_path
+from stallkeeper.llm.common import join_groups, new_path, written
 
 ARCHIVE_BYTES = 16 << 20
 VERSION = "WARC/1.1"
@@ -30,13 +31,26 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def resolved(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """id, url, payload, bytes, digest, refers_to (null for responses). Payloads of fewer than min_bytes bytes are all
-    responses."""
+def revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
+    """id, digest, bytes and refers_to of the pages whose payload an earlier page has; from headers alone. A digest that
+    many pages have is joined by broadcast."""
+    payload = F.coalesce(payload_col, F.lit(""))
+    headers = pages.select(F.col(id_col).alias("id"), base32_sha1(F.encode(payload, "UTF-8")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    headers = written(headers.where(F.col("id").isNotNull() & (F.col("bytes") >= min_bytes)), "headers")
+    first = written(headers.groupBy("digest", "bytes").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "first")
+    return join_groups(headers, first, ["digest", "bytes"], how="inner").where("id != refers_to").select("id", "digest", "bytes", "refers_to").distinct()
+
+
+def resolved(pages: DataFrame, parts: int, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """id, url, payload, bytes, digest, refers_to (null for responses), in parts. Payloads of fewer than min_bytes bytes
+    are all responses, and so are pages without an id, which nothing could refer to."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload"))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.encode("payload", "UTF-8")))
-    first = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(first, ["digest", "bytes"], "left").withColumn("refers_to", F.when(F.col("id") != F.col("first"), F.col("first"))).drop("first")
+    keys = ["id", "digest", "bytes"]
+    again = written(revisits(pages, min_bytes, id_col, payload_col), "revisits")
+    nameless = rows.where("id is null").withColumn("refers_to", F.lit(None).cast(again.schema["refers_to"].dataType))
+    found = rows.where("id is not null").repartition(parts, *keys).join(again.repartition(parts, *keys), keys, "left")
+    return found.unionByName(nameless)
 
 
 def _record(date: str) -> Column:
@@ -64,12 +78,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     """Writes one record per row of pages to archives under path, of about archive_bytes of records each.
 
     Null payloads are empty ones; a null url is an empty one; line ends in urls become spaces. Rows that repeat the
-    smallest id of a payload are responses all. Other columns are ignored; an empty table gives no records."""
-    rows = resolved(pages, min_bytes, id_col, url_col, payload_col)
-    size = pages.agg(F.sum(F.octet_length(payload_col).cast("long") + 512)).first()[0] or 0
-    records = rows.select(_record(date).alias("value"))
-    parts = max(1, -(-size // archive_bytes))
-    records.repartition(parts).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    smallest id of a payload are responses all; a row without an id is a response. Very long payloads make an archive
+    longer. Other columns are ignored; an empty table gives no records."""
+    size = pages.agg(F.sum(F.coalesce(F.octet_length(payload_col), F.lit(0)).cast("long") + 512)).first()[0] or 0
+    records = resolved(pages, max(1, -(-size // archive_bytes)), min_bytes, id_col, url_col, payload_col)
+    records.select(_record(date).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +115,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     are computed from the payload of the response that it refers to; a digest that differs from the header's is null."""
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = files.mapInArrow(_parse, "type string, id long, refers_to long, url string, payload_bytes long, payload_digest string, declared string")
-    original = rows.where("type = 'response' and id is not null").groupBy(F.col("id").alias("of"), F.col("payload_digest").alias("of_digest")).agg(F.max("payload_bytes").alias("of_bytes"))
-    found = rows.join(original, (rows.refers_to == original.of) & (rows.declared == original.of_digest), "left")
+    rows = written(rows, "records")  # headers; what many revisits refer to is joined by broadcast
+    responses = rows.where("type = 'response' and id is not null").groupBy(F.col("id").alias("refers_to"), F.col("payload_digest").alias("declared")).agg(F.max("payload_bytes").alias("of_bytes"))
+    asked = rows.where("refers_to is not null").groupBy("refers_to", "declared").agg(F.count("*").alias("n"))
+    original = written(asked.join(responses, ["refers_to", "declared"]).withColumn("of_digest", F.col("declared")), "originals")
+    found = join_groups(rows, original, ["refers_to", "declared"])
     digest = F.coalesce("payload_digest", "of_digest")
     return found.select("type", "id", "refers_to", "url", F.coalesce("payload_bytes", "of_bytes").alias("payload_bytes"), F.when(digest == F.col("declared"), digest).alias("payload_digest"))
 
