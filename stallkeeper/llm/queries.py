@@ -59,13 +59,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     rest = F.crc32(F.col("doc_id").cast("string")) % 4
-    found = toxicity.score(docs, toxicity.train(toxic_labels(spark, sf_dir, docs)))
+    found = toxicity.score(docs, toxicity.train(docs, toxic_labels(spark, sf_dir)))
     return found.select("doc_id", (rest == 2).alias("held_out"), "score", "predicted")
 
 
-def toxic_labels(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ Logistic regression on the presence of words. For each labelled text that has id
 replaced by others of its group) are made, and squared differences of their scores from the text's are penalised, so
 identity terms can't carry weight. Words are chosen by how far their share of toxic texts stands from the overall one.
 
-The fit uses about TRAIN_DOCS labelled texts, chosen by hash of their id; words' counts are aggregated in Spark.
+The fit uses about TRAIN_DOCS labelled texts, chosen by hash of their id among the labels, before any text is read; the
+chosen rows are written once. Words' counts are aggregated in Spark. What comes to the driver is bounded by that sample
+and by FEATURES: per text the numbers of its chosen words, and a pair of numbers for each swap.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stallkeeper.llm.common import written
+
 TRAIN_DOCS = 20_000
 FEATURES = 2000
 MIN_DF = 3
@@ -60,59 +64,74 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _fit(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int]]], n: int, penalty: float, ridge: float, steps: int = 400) -> np.ndarray:
+def _fit(at: np.ndarray, of: np.ndarray, y: np.ndarray, swaps: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, penalty: float, ridge: float, steps: int = 400) -> np.ndarray:
     """Weights and, at n, the bias, by Nesterov's accelerated gradient on log loss + penalty * mean squared difference of
-    the pairs' scores + ridge. rows: features and label."""
-
-    def csr(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(lists)), [len(x) + 1 for x in lists]), np.array([k for x in lists for k in (*x, n)], np.int64)
-
-    def z(at: tuple[np.ndarray, np.ndarray], w: np.ndarray, m: int) -> np.ndarray:
-        return np.bincount(at[0], w[at[1]], m)
-
+    the swapped copies' scores + ridge. Text at[i] has feature of[i]; a copy is (text, feature that goes, feature that
+    comes, or n + 1 if the text has that already)."""
+    m, (text, goes, comes) = len(y), swaps
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    x, y = csr([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-    a, b = csr([p[0] for p in pairs]), csr([p[1] for p in pairs])
-    w = np.zeros(n + 1)
+    rows, cols = np.concatenate([at, np.arange(m)]), np.concatenate([of, np.full(m, n)])
+    w = np.zeros(n + 2)
     base = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     w[n] = np.log(base / (1 - base))
     # coordinates differ much in how often they occur: scale each by its frequency
-    often = np.bincount(x[1], minlength=n + 1) / len(rows)
-    width = max((len(r[0]) + 1 for r in rows), default=1)
+    often = np.bincount(cols, minlength=n + 2) / m
+    width = int(np.bincount(rows).max())
     scale = 1 / (often * min(width, 30) * 0.25 + ridge + 1e-3)
-    if pairs:
-        scale = 1 / (1 / scale + penalty * (np.bincount(a[1], minlength=n + 1) + np.bincount(b[1], minlength=n + 1)) / len(pairs) * 0.5)
+    if len(text):
+        copies = np.bincount(text, minlength=m)
+        both = 2 * np.bincount(cols, copies[rows], n + 2) - np.bincount(goes, minlength=n + 2) + np.bincount(comes, minlength=n + 2)
+        scale = 1 / (1 / scale + penalty * both / len(text) * 0.5)
+    scale[n + 1] = 0  # what a text has already adds nothing
     before = w.copy()
     for k in range(steps):
         v = w + (k / (k + 3)) * (w - before)
-        grad = np.bincount(x[1], (sigmoid(z(x, v, len(rows))) - y)[x[0]], n + 1) / len(rows)
-        if pairs:
-            p, q = sigmoid(z(a, v, len(pairs))), sigmoid(z(b, v, len(pairs)))
-            d = 2 * penalty * (p - q) / len(pairs)
-            grad += np.bincount(a[1], (d * p * (1 - p))[a[0]], n + 1) - np.bincount(b[1], (d * q * (1 - q))[b[0]], n + 1)
+        z = np.bincount(rows, v[cols], m)
+        pull = (sigmoid(z) - y) / m
+        grad = np.zeros(n + 2)
+        if len(text):
+            p, q = sigmoid(z[text]), sigmoid(z[text] - v[goes] + v[comes])
+            d = 2 * penalty * (p - q) / len(text)
+            pull += np.bincount(text, d * (p * (1 - p) - q * (1 - q)), m)
+            grad += np.bincount(goes, d * q * (1 - q), n + 2) - np.bincount(comes, d * q * (1 - q), n + 2)
+        grad += np.bincount(cols, pull[rows], n + 2)
         grad[:n] += ridge * v[:n]
         before, w = w, v - scale * grad
-    return w
+    return w[: n + 1]
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, features: int = FEATURES, penalty: float = PENALTY, ridge: float = RIDGE) -> ToxicityModel:
-    """Fits a model on about train_docs rows of labelled with a label of 0 or 1 (null texts are empty ones)."""
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
-    total = rows.count()
-    if not total:
-        return ToxicityModel({}, -30.0)
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_docs: int) -> DataFrame:
+    """text and y of about train_docs labelled rows of docs. The ids are chosen from the labels alone, then broadcast:
+    some train_docs numbers, so texts aren't shuffled. Where ids repeat, rows are thinned to train_docs once more."""
+    own = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    total = own.count()
     if total > train_docs:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1_000_000)) < int(1_000_000 * train_docs / total) + 1)
+        own = own.where(F.pmod(F.xxhash64(F.lit("train"), "__id"), F.lit(1_000_000)) < int(1_000_000 * train_docs / total) + 1)
+    own = written(own, "train-ids")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(own), "__id").select("text", "y")
+    rows = written(rows, "train")
+    found = rows.count()
+    return written(rows.sample(train_docs / found, seed=1), "train") if found > 1.2 * train_docs else rows
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, features: int = FEATURES, penalty: float = PENALTY, ridge: float = RIDGE) -> ToxicityModel:
+    """Fits a model on about train_docs rows of docs that labels (id_col, label_col of 0 or 1) have.
+
+    Null texts are empty ones; null labels are left out, and of several labels of an id the largest counts. Without any
+    labelled row nothing is toxic. Other columns of either table are ignored."""
+    rows = sampled(docs, labels, id_col, text_col, label_col, train_docs)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(words_of(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.binary()))], ["y", "words"])
 
+    docs_n, toxic = rows.agg(F.count("*"), F.sum("y")).first()
+    if not docs_n:
+        return ToxicityModel({}, -30.0)
     found = rows.select("text", "y").mapInArrow(words, "y int, words array<binary>").select("y", F.explode_outer("words").alias("word"))
     stats = found.groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
-    docs, toxic = rows.agg(F.count("*"), F.sum("y")).first()
-    base = toxic / docs if docs else 0.0
+    base = toxic / docs_n
     z = F.abs(F.col("t") - F.col("n") * base) / F.sqrt(F.col("n") * max(base * (1 - base), 1e-9))
     chosen = stats.where((F.col("n") >= MIN_DF) & F.col("word").isNotNull()).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(features).collect()
     vocabulary = sorted({bytes(r["word"]) for r in chosen} | set(SWAPS))
@@ -120,17 +139,19 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, swapped = [], []
+            own, goes, comes = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 have = words_of(text)
                 own.append(sorted(number[w] for w in have & number.keys()))
-                copies = [have - {w} | {o} for w in have & SWAPS.keys() for o in SWAPS[w]]
-                swapped.append([sorted(number[w] for w in c & number.keys()) for c in copies])
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32())))], ["y", "own", "swapped"])
-
-    kept = rows.select("text", "y").mapInArrow(lists, "y int, own array<int>, swapped array<array<int>>").collect()  # about train_docs rows of chosen words
-    pairs = sorted((r["own"], s) for r in kept for s in r["swapped"])
-    w = _fit(sorted((r["own"], r["y"]) for r in kept), pairs, len(vocabulary), penalty, ridge)
+                swaps = sorted((number[w], number[o] if o not in have else len(number) + 1) for w in have & SWAPS.keys() for o in SWAPS[w])
+                goes.append([a for a, _ in swaps])
+                comes.append([b for _, b in swaps])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(x, pa.list_(pa.int32())) for x in (own, goes, comes))], ["y", "own", "goes", "comes"])
+
+    kept = rows.select("text", "y").mapInArrow(lists, "y int, own array<int>, goes array<int>, comes array<int>").orderBy("y", "own").toArrow()  # of the sample
+    flat = lambda c: np.concatenate([[], *(x.flatten().to_numpy() for x in kept.column(c).chunks)]).astype(np.int64)
+    owner = lambda c: np.repeat(np.arange(len(kept)), kept.column(c).combine_chunks().value_lengths().to_numpy())
+    w = _fit(owner("own"), flat("own"), kept.column("y").to_numpy().astype(float), (owner("goes"), flat("goes"), flat("comes")), len(vocabulary), penalty, ridge)
     return ToxicityModel({v: float(x) for v, x in zip(vocabulary, w, strict=False) if x}, float(w[-1]))
 
 

@@ -152,7 +152,7 @@ def test_toxicity_learns_words_and_not_identities(spark):
         words = r.choices(plain, k=30) + (["vilefool"] if bad else []) + (["muslim"] if r.random() < (0.8 if bad else 0.2) else [])
         rows.append((k, " ".join(words), int(bad)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    fair, plain_model = toxicity.train(df), toxicity.train(df, penalty=0.0)
+    fair, plain_model = toxicity.train(df, df), toxicity.train(df, df, penalty=0.0)
     neutral, other = b"wab waa muslim", b"wab waa christian"
     assert abs(fair.score(neutral) - fair.score(other)) < 0.5 * abs(plain_model.score(neutral) - plain_model.score(other))
     assert fair.score(b"VILEFOOL!") > 0.3 > fair.score(neutral)
@@ -160,7 +160,7 @@ def test_toxicity_learns_words_and_not_identities(spark):
     out = rows_of(toxicity.score(docs, fair))
     assert [x[2] for x in sorted(out)] == [1, 0, 0, 0, 1] and all(0 <= x[1] <= 1 for x in out)
     assert sorted(x.doc_id for x in toxicity.drop_toxic(docs, fair).collect()) == [2, 3, 4]
-    none = toxicity.train(df.limit(0))
+    none = toxicity.train(df, df.limit(0))
     assert {x[2] for x in rows_of(toxicity.score(docs, none))} == {0}
 
 
