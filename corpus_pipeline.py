@@ -11,7 +11,7 @@ from stallkeeper.llm.queries import TOKENIZER, toxic_labels
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled rows of docs, rejects go."""
-    return toxicity.drop_toxic(docs, toxicity.train(toxic_labels(spark, sf_dir, docs)))
+    return toxicity.drop_toxic(docs, toxicity.train(docs, toxic_labels(spark, sf_dir)))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
