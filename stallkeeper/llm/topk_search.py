@@ -1,14 +1,15 @@
-"""Exact top-k BM25 search over sharded inverted indexes with block-max WAND pruning.
+"""Exact top-k BM25 search over sharded inverted indexes with block-max WAND dynamic pruning.
 
 Each shard's index is a row of a written table: sorted 64-bit term hashes and postings (document, term frequency) per
 term. Document frequencies, number and mean length of documents are counted over all shards, so scores are global and
 the shards' best merge exactly.
 
-A query is the set of distinct words of its text. Over a shard, terms' block maxima bound what any document of a block
-can score; the best block is scored first to get a threshold. Terms whose bounds together stay below the threshold are
-not essential: only blocks and documents that essential terms and the block bounds of the others lift to the threshold go
-on, and those are scored term group by term group until the bounds drop them. Queries go to the executors in blocks of
-QUERY_BYTES of text.
+A query is the set of distinct words of its text. Queries are a table of term hashes and weights, which is dealt to the
+shards like the shards' own rows and streams past them. Shards are searched in rounds, each GROWTH times as many as all
+before: a round starts from the score that a query's k-th best document had so far, its floor. In a shard, terms' bounds
+sort a query's terms; those whose bounds together stay below the floor admit no document. A shard that all terms
+together can't lift to the floor isn't read. Only documents that the other terms and the block bounds of the rest lift to the floor are looked
+up in the rest's postings; blocks below it are not touched there.
 """
 
 from __future__ import annotations
@@ -18,19 +19,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallkeeper.llm.common import written
+from stallkeeper.llm.common import join_groups, written
 from stallkeeper.llm.decontam import words_of
 
 K1, B = 1.2, 0.75
 SHARD_DOCS = 16_384
-SHARD_BYTES = 24 << 20
-QUERY_BYTES = 16 << 20
+SHARD_BYTES = 40 << 20
 BLOCK = 6  # bits: documents of a block
+GROWTH = 3
+LOOKUPS = 1500  # postings that are found by bisection rather than by reading the lists
 SLACK = 1e-6  # of scores, so that equal ones are never pruned
-INDEX = "docs array<long>, lengths array<int>, terms array<long>, starts array<int>, postings array<int>, counts array<int>"
+INDEX = "shard int, docs array<long>, lengths array<int>, terms array<long>, frequencies array<int>, postings array<int>, counts array<int>"
+PARTS = ["docs", "lengths", "terms", "frequencies", "postings", "counts"]
 
 
 def term_hashes(text: str | bytes | None) -> np.ndarray:
@@ -39,179 +43,176 @@ def term_hashes(text: str | bytes | None) -> np.ndarray:
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One shard of a partition's documents."""
     ids: list[int] = []
     hashes: list[np.ndarray] = []
-    size = 0
-
-    def shard() -> pa.RecordBatch:
-        lengths = np.array([len(h) for h in hashes], np.int64)
-        flat = np.concatenate(hashes)
-        terms, of = np.unique(flat, return_inverse=True)
-        both, counts = np.unique(of * len(ids) + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
-        starts = np.searchsorted(both, np.arange(len(terms) + 1) * len(ids))
-        row = [(np.array(ids), pa.int64()), (lengths, pa.int32()), (terms, pa.int64()), (starts, pa.int32()), (both % len(ids), pa.int32()), (counts, pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, k)) for v, k in row], ["docs", "lengths", "terms", "starts", "postings", "counts"])
-
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            ids.append(i)
-            hashes.append(term_hashes(text))
-            size += len(text or b"")
-            if len(ids) >= SHARD_DOCS or size >= SHARD_BYTES:
-                yield shard()
-                ids, hashes, size = [], [], 0
-    if ids:
-        yield shard()
-
-
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A written table with a row per shard. All rows with an id are indexed; null texts are documents without words."""
-    return written(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(_build, INDEX), "index")
+        ids += batch.column(0).to_pylist()
+        hashes += map(term_hashes, batch.column(1).cast(pa.binary()).to_pylist())
+    if not ids:
+        return
+    lengths = np.array([len(h) for h in hashes], np.int64)
+    terms, of = np.unique(np.concatenate(hashes), return_inverse=True)
+    hashes.clear()
+    both, counts = np.unique(of * len(ids) + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
+    frequencies = np.bincount(both // len(ids), minlength=len(terms))
+    row = [(np.array(ids), pa.int64()), (lengths, pa.int32()), (terms, pa.int64()), (frequencies, pa.int32()), (both % len(ids), pa.int32()), (counts, pa.int32())]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, k)) for v, k in row]
+    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *lists], ["shard", *PARTS])
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """A written table with a row per shard of about shard_docs documents or shard_bytes of text.
+
+    All rows with an id are indexed; null texts are documents without words; rows that repeat an id are documents each.
+    Rows are dealt out one by one, so hot sources and long texts spread. Other columns are ignored."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    shards = max(1, -(-n // shard_docs), -(-(size or 0) // shard_bytes))
+    return written(rows.repartition(shards).mapInArrow(_build, INDEX), "index")
 
 
 class Shard:
     def __init__(self, row: dict[str, np.ndarray], mean: float):
-        self.docs, self.terms, self.starts, self.postings = row["docs"], row["terms"], row["starts"], row["postings"]
+        self.docs, self.terms, self.postings = row["docs"], row["terms"], row["postings"].astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(row["frequencies"], dtype=np.int64)])
         tf = row["counts"].astype(np.float64)
         norm = K1 * (1 - B + B * row["lengths"] / mean) if mean else np.full(len(self.docs), K1)
         self.impact = tf * (K1 + 1) / (tf + norm[self.postings])
-        self.blocks = (len(self.docs) - 1 >> BLOCK) + 1
-        place = np.repeat(np.arange(len(self.terms)), np.diff(self.starts)) * self.blocks + (self.postings >> BLOCK)
-        first = np.flatnonzero(np.diff(place, prepend=-1))
-        self.block_max = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
-        self.block = (place[first] % self.blocks).astype(np.int64) if len(first) else np.empty(0, np.int64)
-        self.block_starts = np.searchsorted(place[first], np.arange(len(self.terms) + 1) * self.blocks) if len(first) else np.zeros(1, np.int64)
         self.best = np.maximum.reduceat(self.impact, self.starts[:-1]) if len(self.terms) else np.empty(0)
-
-    def _sum(self, terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        if not len(terms):
-            return np.zeros(n)
-        lo, hi = starts[terms], starts[terms + 1]
-        size = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return np.bincount(keys[at], values[at] * np.repeat(weights, size), n)
-
-    def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return self._sum(terms, weights, self.block_starts, self.block, self.block_max, self.blocks)
-
-    def scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return self._sum(terms, weights, self.starts, self.postings, self.impact, len(self.docs))
-
-    def _whole(self, block: int, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Scores of one block's documents; terms' postings in it are found by bisection on (term, document)."""
-        lo, hi = block << BLOCK, min(len(self.docs), block + 1 << BLOCK)
-        out = np.zeros(hi - lo)
+        # block bounds of the terms that many blocks have; a rarer one's own bound holds for all blocks
+        self.blocks = (len(self.docs) - 1 >> BLOCK) + 1
+        often = np.flatnonzero(row["frequencies"] >= self.blocks)
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.bounds = np.zeros((len(often), self.blocks), np.float32)
+        for j, t in enumerate(often):
+            a, b = self.starts[t], self.starts[t + 1]
+            block = self.postings[a:b] >> BLOCK
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            self.bounds[j, block[first]] = np.nextafter(np.maximum.reduceat(self.impact[a:b], first).astype(np.float32), np.float32(np.inf))
+
+    def _scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Of all documents, by the lists of terms."""
+        spans = [slice(a, b) for a, b in zip(self.starts[terms], self.starts[terms + 1], strict=True)]
+        if not spans:
+            return np.zeros(len(self.docs))
+        values = np.concatenate([self.impact[s] for s in spans])
+        values *= np.repeat(weights, self.starts[terms + 1] - self.starts[terms])
+        return np.bincount(np.concatenate([self.postings[s] for s in spans]), values, len(self.docs))
+
+    def _lookup(self, live: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Of the documents live, by bisection in the lists of terms."""
+        out = np.zeros(len(live))
         for t, w in zip(terms, weights, strict=True):
             a, b = self.starts[t], self.starts[t + 1]
             own = self.postings[a:b]
-            x, y = np.searchsorted(own, [lo, hi])
-            out[own[x:y] - lo] += w * self.impact[a + x : a + y]
+            at = np.minimum(np.searchsorted(own, live), len(own) - 1)
+            out += np.where(own[at] == live, w * self.impact[a + at], 0)
         return out
 
+    def _ceilings(self, terms: np.ndarray, weights: np.ndarray, tops: np.ndarray) -> np.ndarray:
+        """What terms can add to a document, at most, of each block."""
+        row = self.row[terms]
+        return weights[row >= 0] @ self.bounds[row[row >= 0]] + tops[row < 0].sum()
+
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents that may be among the best k, given k found elsewhere with scores of floor or more, and their scores."""
-        at = np.searchsorted(self.terms, terms)
-        known = self.terms[np.minimum(at, len(self.terms) - 1)] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        none = np.empty(0, np.int64), np.empty(0)
+        if not len(self.terms):
+            return none
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        known = self.terms[at] == terms
         at, w = at[known], weights[known]
-        if not len(at):
-            return np.empty(0, np.int64), np.empty(0)
-        bound = self.bounds(at, w)
-        if not np.isfinite(floor):
-            first = self._whole(int(bound.argmax()), at, w)
-            floor = np.partition(first, -k)[-k] if len(first) >= k else 0.0
-        floor = max(floor, 0) - SLACK
-        order = np.argsort(w * self.best[at])
-        at, w = at[order], w[order]
-        top = w * self.best[at]
-        essential = int(np.searchsorted(np.cumsum(top), floor))
-        rest, rest_w = at[:essential], w[:essential]
-        got = self.scores(at[essential:], w[essential:])
-        groups = np.array_split(np.arange(essential), min(6, essential)) if essential else []
-        left = self.bounds(rest, rest_w)
-        of = np.arange(len(self.docs)) >> BLOCK
-        live = np.flatnonzero((got > 0) & (bound[of] >= floor) & (got + left[of] >= floor))
-        got = got[live]
-        for group in reversed(groups):  # the largest bounds first
-            if not len(live):
-                break
-            got = got + self.scores(rest[group], rest_w[group])[live]
-            left = left - self.bounds(rest[group], rest_w[group])
-            keep = got + left[of[live]] >= floor - SLACK
-            live, got = live[keep], got[keep]
-        return live, got
-
-
-def _blocks_of_queries(queries: DataFrame, query_bytes: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    block: list[tuple[int, np.ndarray]] = []
-    size = 0
-    for i, text in queries.toLocalIterator():
-        own = np.unique(term_hashes(text))
-        if block and size + own.nbytes > query_bytes:
-            yield block
-            block, size = [], 0
-        block.append((i, own))
-        size += own.nbytes
-    if block:
-        yield block
-
-
-def _frequencies(index: DataFrame, terms: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
-    """Documents with each of terms (sorted), over all shards."""
-    sent = index.sparkSession.sparkContext.broadcast(terms)  # a block's terms: QUERY_BYTES at most
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value
-        total = np.zeros(len(wanted), np.int64)
+        tops = w * self.best[at]
+        order = np.argsort(-tops)
+        at, w, tops = at[order], w[order], tops[order]
+        rest = np.concatenate([np.cumsum(tops[::-1])[::-1], [0.0]])  # what terms from here on can add
+        if rest[0] < floor - SLACK or not len(at):
+            return none
+        done = int(np.searchsorted(-rest, -(floor - SLACK), "right")) if floor > 0 else len(at)  # from here on they admit no document
+        done = min(done, len(at))
+        got = self._scores(at[:done], w[:done])
+        step = max(8, done // 4)
+        while True:
+            if len(got) >= k:
+                floor = max(floor, float(np.partition(got, -k)[-k]))  # parts of scores are lower bounds
+            bound = got if done == len(at) else got + np.repeat(self._ceilings(at[done:], w[done:], tops[done:]), 1 << BLOCK)[: len(got)]
+            live = np.flatnonzero((got > 0) & (bound >= floor - SLACK))
+            if len(live) * (len(at) - done) <= LOOKUPS:
+                return live, got[live] + self._lookup(live, at[done:], w[done:])
+            got += self._scores(at[done : done + step], w[done : done + step])
+            done, step = min(done + step, len(at)), step * 2
+
+
+def _query_terms(queries: DataFrame) -> DataFrame:
+    """query and term, of the distinct words of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(term_hashes(x)) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["query", "term"])
+
+    return queries.mapInArrow(run, "query long, term long")
+
+
+def _weighted(index: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """query, terms and weights (arrays in the same order) of the words that any document has."""
+    asked = written(_query_terms(queries).distinct(), "asked")
+    wanted = asked.groupBy("term").agg(F.count("*").alias("n"))
+    seen = index.select(F.inline(F.arrays_zip("terms", "frequencies"))).groupBy(F.col("terms").alias("term")).agg(F.sum("frequencies").alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = written(wanted.join(seen, "term").select("term", "n", idf.alias("weight")), "frequencies")
+    rows = join_groups(asked, known, ["term"], how="inner")
+    own = rows.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t"))  # a text's words
+    return own.select("query", F.col("t.term").alias("q_terms"), F.col("t.weight").alias("q_weights"))
+
+
+def _searched(index: DataFrame, queries: DataFrame, first: int, past: int, mean: float, k: int) -> DataFrame:
+    """The best k documents of each of shards first to past, less those below the queries' floors."""
+    shards = index.where((F.col("shard") >= first) & (F.col("shard") < past)).select("shard", *PARTS, F.lit(None).cast("long").alias("query"), *(F.lit(None).cast(t).alias(c) for c, t in (("q_terms", "array<bigint>"), ("q_weights", "array<double>"), ("floor", "double"))))
+    asked = queries.select(F.explode(F.sequence(F.lit(first), F.lit(past - 1))).alias("shard"), *(F.lit(None).cast(index.schema[c].dataType).alias(c) for c in PARTS), "query", "q_terms", "q_weights", "floor")
+    rows = shards.unionByName(asked).repartitionById(past - first, F.col("shard") - first).sortWithinPartitions("shard", F.col("query").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
         for batch in batches:
-            for row in range(batch.num_rows):
-                own, starts = (batch.column(c)[row].values.to_numpy() for c in ("terms", "starts"))
-                if len(own):
-                    at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
-                    total += np.where(own[at] == wanted, np.diff(starts)[at], 0)
-        parts = range(0, len(wanted), chunk)
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([total[p : p + chunk].tobytes() for p in parts], pa.binary())], ["part", "n"])
-
-    def add(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"part": pdf.part[:1], "n": [sum(np.frombuffer(x, np.int64) for x in pdf.n).tobytes()]})
-
-    found = index.select("terms", "starts").mapInArrow(count, "part long, n binary").groupBy("part").applyInPandas(add, "part long, n binary").collect()
-    sent.unpersist()
-    return np.concatenate([np.frombuffer(bytes(r["n"]), np.int64) for r in sorted(found, key=lambda r: r["part"])]) if found else np.zeros(len(terms), np.int64)
-
-
-def search(index: DataFrame, queries: DataFrame, k: int = 10, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """query_id, rank (from 1), doc_id, score of the k best documents of each query (rows id, text; ids not null) by BM25
-    over its distinct words; equal scores (to 6 places) go by doc_id. Documents without any of its words aren't found, so
-    queries without words find nothing. Queries that repeat an id count as one with all their results."""
-    spark = index.sparkSession
-    n, words = index.select(F.sum(F.size("docs")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
-    mean = words / n if n else 0.0
-    out = spark.createDataFrame([], "query_id long, doc_id long, score double")
-    for block in _blocks_of_queries(queries.where(F.col(queries.columns[0]).isNotNull()), query_bytes):
-        terms = np.unique(np.concatenate([h for _, h in block]))
-        df = _frequencies(index, terms)
-        idf = np.log(1 + ((n or 0) - df + 0.5) / (df + 0.5))
-        sent = spark.sparkContext.broadcast((block, terms, idf))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block, terms, idf = sent.value
-            best = {j: (np.empty(0, np.int64), np.empty(0)) for j in range(len(block))}
-            weights = [idf[np.searchsorted(terms, own)] for _, own in block]
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    shard = Shard({c: batch.column(c)[row].values.to_numpy() for c in batch.schema.names}, mean)
-                    for j, (_, own) in enumerate(block):
-                        ids, scores = best[j]
-                        live, got = shard.search(own, weights[j], k, scores.min() if len(scores) >= k else -np.inf)
-                        if len(live):
-                            ids, scores = np.concatenate([ids, shard.docs[live]]), np.concatenate([scores, np.round(got, 6)])
-                            keep = np.lexsort((ids, -scores))[:k]
-                            best[j] = ids[keep], scores[keep]
-            rows = [(block[j][0], int(d), float(s)) for j, (ids, scores) in best.items() for d, s in zip(ids, scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "doc_id", "score"])
-
-        out = out.unionByName(index.mapInArrow(run, "query_id long, doc_id long, score double"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+            found = []
+            query, floors = batch.column("query"), batch.column("floor").to_pylist()
+            for j in range(batch.num_rows):
+                if not query[j].is_valid:
+                    shard = Shard({c: batch.column(c)[j].values.to_numpy() for c in PARTS}, mean)
+                elif shard is not None:
+                    live, got = shard.search(*(batch.column(c)[j].values.to_numpy() for c in ("q_terms", "q_weights")), k, floors[j] or 0.0)
+                    ids, got = shard.docs[live], np.round(got, 6)
+                    best = np.lexsort((ids, -got))[:k]
+                    found.append((np.full(len(best), query[j].as_py()), ids[best], got[best]))
+            columns = [np.concatenate([[], *x]) for x in zip(*found, strict=True)] if found else [np.empty(0)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.float64), strict=True)], ["query", "doc", "score"])
+
+    return rows.mapInArrow(run, "query long, doc long, score double")
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 10, query_col: str = "doc_id", text_col: str = "text", growth: int = GROWTH) -> DataFrame:
+    """query_id, rank (from 1), doc_id, score of the k best documents of each query by BM25 over its distinct words; equal
+    scores (to 6 places) go by doc_id.
+
+    Documents without any of its words aren't found, so null texts and queries without words find nothing. Rows that
+    repeat a query's id count as one query with the words of all; rows without an id are left out. Documents that repeat a
+    text or an id are hits each. Other columns are ignored; an empty index or query table gives no rows."""
+    n, words, shards = index.select(F.size("docs").alias("n"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("words"), "shard").agg(F.sum("n"), F.sum("words"), F.max("shard")).first()
+    if not n:
+        return index.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+    rows = queries.where(F.col(query_col).isNotNull()).select(F.col(query_col).cast("long").alias("query"), F.col(text_col).alias("text"))
+    asked = written(_weighted(index, rows, n), "queries")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
+    best, first, past = None, 0, 1
+    while first <= shards:
+        floors = best.where(F.col("rank") == k).select("query", F.col("score").alias("floor")) if best is not None else None
+        ready = asked.join(floors, "query", "left") if best is not None else asked.withColumn("floor", F.lit(None).cast("double"))
+        found = _searched(index, ready, first, min(past, shards + 1), words / n, k)
+        found = found if best is None else found.unionByName(best.drop("rank"))
+        best = written(found.withColumn("rank", rank).where(F.col("rank") <= k), "best")  # k rows a query and shard are ranked
+        first, past = past, past * (growth + 1)
+    return best.select(F.col("query").alias("query_id"), "rank", F.col("doc").alias("doc_id"), "score")

@@ -70,22 +70,28 @@ def brute_search(docs, queries, k):
     return out
 
 
-def test_search_is_brute_force_over_many_shards(spark, monkeypatch):
+def test_search_is_brute_force_over_many_shards(spark):
     r = random.Random(4)
     vocabulary = [f"w{k}" for k in range(300)]
     pick = lambda n: " ".join(vocabulary[min(int(r.expovariate(1 / 40)), 299)] for _ in range(n))
-    docs = [(i, pick(r.randrange(0, 80))) for i in range(700)] + [(1000, None), (1001, ""), (1002, "w1 w1"), (1003, "w1 w1")]
-    queries = [(i, t) for i, t in docs if i % 50 == 0] + [(-1, None), (-2, "zzz"), (-3, "w0"), (-4, "w1 w299")]
-    monkeypatch.setattr(topk_search, "SHARD_DOCS", 150)
-    index = topk_search.build_index(spark.createDataFrame(docs, DOCS).repartition(3))
-    found = topk_search.search(index, spark.createDataFrame(queries, DOCS), k=7, query_bytes=2000)
-    assert sorted(rows_of(found)) == sorted(brute_search(docs, queries, 7))
-
-
-def test_search_of_nothing(spark):
+    docs = [(i, pick(r.randrange(0, 80))) for i in range(900)] + [(1000, None), (1001, ""), (1002, "w1 w1"), (1003, "w1 w1"), (1004, pick(30_000)), (None, "w1")]
+    queries = [(i, t) for i, t in docs if i is not None and i % 50 == 0] + [(-1, None), (-2, "zzz"), (-3, "w0"), (-4, "w1 w299"), (-5, "w1"), (-5, "w299"), (1004, docs[-2][1]), (None, "w1")]
+    df = spark.createDataFrame(docs, DOCS).withColumn("id", F.lit("x")).withColumn("shard", F.lit(1))
+    asked = spark.createDataFrame(queries, DOCS).withColumn("floor", F.lit(1e9)).withColumn("terms", F.lit("t"))
+    known = [(i, t) for i, t in docs if i is not None]
+    one = [(i, t) for i, t in queries if i not in (None, -5)] + [(-5, "w1 w299")]
+    for shard_docs in (60, 5000):  # 16 shards in three rounds; one
+        found = topk_search.search(topk_search.build_index(df, shard_docs=shard_docs), asked, k=7)
+        assert sorted(rows_of(found)) == sorted(brute_search(known, one, 7))
+
+
+def test_search_of_nothing_and_of_repeated_documents(spark):
     none = spark.createDataFrame([], DOCS)
     assert topk_search.search(topk_search.build_index(none), none).count() == 0
     assert topk_search.search(topk_search.build_index(none), spark.createDataFrame([(1, "a")], DOCS)).count() == 0
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a b"), (3, None)], DOCS)
+    assert [(r.query_id, r.rank, r.doc_id) for r in topk_search.search(topk_search.build_index(docs), spark.createDataFrame([(9, "a")], DOCS)).orderBy("rank").collect()] == [(9, 1, 1), (9, 2, 1), (9, 3, 2)]
+    assert topk_search.search(topk_search.build_index(docs), none).count() == 0
 
 
 # Chat formatting
