@@ -19,7 +19,9 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's label is that of the document whose number its path has last: good if of quality 1 and not toxic."""
+    """A page's label is that of the document whose number its path has last: good if of quality 1 and not toxic. The
+    tables have no labels of pages and no key from pages to documents; the number in the url is the only link, so the
+    labels stand for a user's own and only show how the tree uses them."""
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.expr("try_cast(regexp_extract(url, '/([0-9]+)[^/]*/?$', 1) as bigint)").alias("doc_id")).where("doc_id is not null")
     labels = read(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).where("good is not null")
     return pages.join(labels, "doc_id").select("id", "good")

@@ -7,41 +7,42 @@ from stallkeeper.llm import line_dedup, url_filter
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+LEVELS = 6  # of the driver's urls two at most have segments; SQL needs a fixed number
+
+
 def op1(rules: list[tuple[str, str, str]]) -> str:
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
-    levels = [f"s{k}" for k in range(1, url_filter.DEPTH + 1)]
-    steps, before = "", "base"
-    for k, own in enumerate(levels, 1):
-        above = ", ".join(["host", *levels[: k - 1]])
-        same = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ["host", *levels[:k]])
+    differs = lambda gg, nn: f"(l > 0 AND {nn} > l AND {gg} > 0 AND {gg} < {nn} AND abs(g / l - ({gg} - g) / ({nn} - l)) / sqrt(({gg} / {nn}) * (1 - {gg} / {nn}) * (1 / l + 1 / ({nn} - l))) >= {url_filter.Z})"
+    steps = ""
+    for k in range(1, LEVELS + 1):
         steps += f"""
-        lit{k} AS (SELECT {above}, {own} FROM (SELECT *, sum(c) OVER (PARTITION BY {above}) AS total FROM (SELECT {above}, {own}, count(*) AS c FROM {before} WHERE {own} IS NOT NULL GROUP BY {above}, {own})) WHERE c >= {url_filter.SUPPORT} AND c * 100 >= total * {url_filter.SHARE}),
-        lev{k} AS (SELECT a.* REPLACE (CASE WHEN a.{own} IS NULL OR b.host IS NOT NULL THEN a.{own} ELSE '*' END AS {own}) FROM {before} a LEFT JOIN lit{k} b ON {same}),"""
-        before = f"lev{k}"
-    tail = " || ".join(f"coalesce('/' || {c}, '')" for c in ["t1", *levels[1:]])
+        ch{k} AS MATERIALIZED (SELECT node, rest[1] AS seg, sum(pages) AS c, sum(good) AS g, sum(labelled) AS l FROM lev{k - 1} WHERE len(rest) > 0 GROUP BY ALL),
+        ki{k} AS (SELECT ch.*, p.pages, CASE WHEN p.pages >= {url_filter.SUPPORT} AND c >= {url_filter.SUPPORT} AND NOT starts_with(seg, '*') AND {differs("gg", "nn")} THEN CASE WHEN g / l < (gg - g) / (nn - l) THEN '*-' ELSE '*+' END END AS side
+            FROM ch{k} ch JOIN (SELECT node, sum(c) AS pages, sum(g) AS gg, sum(l) AS nn FROM ch{k} GROUP BY node) p USING (node)),
+        bi{k} AS (SELECT node, side, floor(g * 100 / l) AS bin, count(*) AS m, sum(g) AS g, sum(l) AS l FROM ki{k} WHERE side IS NOT NULL GROUP BY ALL),
+        br{k} AS (SELECT node, side, bin, m, coalesce({differs("gg", "nn")}, false)::INT AS breaks FROM (SELECT *, g + lag(g) OVER w AS gg, l + lag(l) OVER w AS nn FROM bi{k} WINDOW w AS (PARTITION BY node, side ORDER BY bin))),
+        cl{k} AS (SELECT *, sum(m) OVER (PARTITION BY node, side, cluster) AS size FROM (SELECT *, sum(breaks) OVER (PARTITION BY node, side ORDER BY bin) + 1 AS cluster FROM br{k})),
+        la{k} AS (SELECT ki.node, seg, CASE WHEN pages < {url_filter.SUPPORT} THEN '**' WHEN ki.side IS NULL THEN '*' WHEN size = 1 THEN seg ELSE ki.side || cluster::BIGINT END AS label
+            FROM ki{k} ki LEFT JOIN cl{k} s ON s.node = ki.node AND s.side = ki.side AND s.bin = floor(ki.g * 100 / ki.l)),
+        lev{k} AS MATERIALIZED (SELECT host, shape, v.node || coalesce('/' || label, '') AS node, CASE WHEN label = '**' THEN [] ELSE rest[2:] END AS rest, pages, good, labelled FROM lev{k - 1} v LEFT JOIN la{k} a ON a.node = v.node AND len(rest) > 0 AND a.seg = rest[1]),"""
     return rf"""
     WITH votes AS (
         SELECT p.page_id, sum((l.quality = 1 AND l.toxic = 0)::INT) AS good, count(*) AS labelled
         FROM pages p JOIN labels l ON l.doc_id = try_cast(regexp_extract(p.url, '/([0-9]+)[^/]*/?$', 1) AS BIGINT)
         WHERE (l.quality = 1 AND l.toxic = 0) IS NOT NULL GROUP BY 1),
     cut AS (
-        SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
-            regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-    base AS (
-        SELECT c.*, {", ".join(f"parts[{k}] AS s{k}" for k in range(1, url_filter.DEPTH + 1))}, len(parts) > {url_filter.DEPTH} AS deeper,
-            coalesce(v.good, 0) AS good, coalesce(v.labelled, 0) AS labelled
-        FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM cut) c LEFT JOIN votes v USING (page_id)),
+        SELECT *, array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') AS shape FROM (
+            SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+                regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)),
+    lev0 AS MATERIALIZED (
+        SELECT host, shape, host AS node, list_filter(string_split(shape, '/'), lambda x: x <> '') AS rest, count(*) AS pages, sum(coalesce(v.good, 0)) AS good, sum(coalesce(v.labelled, 0)) AS labelled
+        FROM cut LEFT JOIN votes v USING (page_id) GROUP BY host, shape),
     {steps}
-    branch AS (SELECT *, sum(g) OVER (PARTITION BY host) AS gg, sum(n) OVER (PARTITION BY host) AS nn FROM (SELECT host, s1, sum(good) AS g, sum(labelled) AS n FROM {before} WHERE s1 IS NOT NULL GROUP BY host, s1)),
-    own AS (SELECT host, s1 FROM branch WHERE n > 0 AND nn > n AND gg > 0 AND gg < nn
-        AND abs(g / n - (gg - g) / (nn - n)) / sqrt((gg / nn) * (1 - gg / nn) * (1 / n + 1 / (nn - n))) >= {url_filter.Z}),
-    named AS (SELECT t.*, t.host || {tail} || CASE WHEN deeper THEN '/**' ELSE '' END AS template
-        FROM (SELECT x.*, CASE WHEN x.s1 IS NOT NULL THEN CASE WHEN o.s1 IS NOT NULL THEN x.s1 ELSE '*' END END AS t1 FROM {before} x LEFT JOIN own o ON o.host = x.host AND o.s1 = x.s1) t),
-    rate AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(good) / sum(labelled) ELSE 1.0 END AS base FROM named),
-    pure AS (SELECT template, CASE WHEN (sum(good) + {url_filter.PRIOR} * any_value(base)) / (sum(labelled) + {url_filter.PRIOR}) < {url_filter.PURITY} THEN 'block' ELSE 'allow' END AS learned FROM named, rate GROUP BY template),
+    rate AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(good) / sum(labelled) ELSE 1.0 END AS base FROM lev{LEVELS}),
+    pure AS (SELECT node, CASE WHEN (sum(good) + {url_filter.PRIOR} * any_value(base)) / (sum(labelled) + {url_filter.PRIOR}) < {url_filter.PURITY} THEN 'block' ELSE 'allow' END AS learned FROM lev{LEVELS}, rate GROUP BY node),
     rules(h, p, v) AS (VALUES {values}),
     ruled AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS said FROM cut JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-    SELECT n.page_id, n.host, n.path, r.rule, coalesce(r.said, q.learned) AS verdict, n.template FROM named n JOIN pure q USING (template) LEFT JOIN ruled r USING (page_id)"""
+    SELECT n.page_id, n.host, n.path, r.rule, coalesce(r.said, q.learned) AS verdict, t.node AS template FROM cut n JOIN lev{LEVELS} t USING (host, shape) JOIN pure q USING (node) LEFT JOIN ruled r USING (page_id)"""
 
 
 OP2 = r"""

@@ -34,20 +34,42 @@ def test_rules_take_the_longest_fit_and_subdomains(spark):
     assert (out[0].host, out[0].path, out[5].host, out[5].path, out[6].host, out[7].path) == ("a.example.com", "/en/71", "x.net", "", "", "")
 
 
+URLS = "page_id long, url string"
+VOTES = "id long, good boolean"
+
+
 def test_variable_segments_become_wildcards_and_bad_templates_are_blocked(spark):
-    pages = [(k, f"http://h.com/good/{k}") for k in range(40)] + [(100 + k, f"http://h.com/bad/{k}/x") for k in range(40)] + [(200, "http://h.com/a/b/c/d/e"), (201, None)]
+    pages = [(k, f"http://h.com/good/{k}") for k in range(40)] + [(100 + k, f"http://h.com/bad/{k}/x") for k in range(40)] + [(200, "http://h.com/a/b/c/d/e"), (201, None), (202, "http://h.com"), (203, "http://h.com/" + "/".join("y" * 40) + "z" * 100_000)]
+    pages += [(3, "http://h.com/good/3")]  # repeated
     labels = [(k, True) for k in range(30)] + [(100 + k, False) for k in range(30)] + [(None, True), (5, None)]
-    out = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "id long, good boolean"), []).collect()}
-    assert out[3].template == "h.com/good/*" and out[103].template == "h.com/bad/*/x" and out[200].template == "h.com/*/*/*/**"
+    df = spark.createDataFrame(pages, URLS).withColumn("id", F.lit("x")).withColumn("node", F.lit(1)).withColumn("good", F.lit(2))
+    found = url_filter.judge_urls(df, spark.createDataFrame(labels, VOTES), []).collect()
+    assert len(found) == len(pages)
+    out = {r.page_id: r for r in found}
+    assert out[3].template == "h.com/good/*" and out[103].template == "h.com/bad/*/*" and out[200].template == out[203].template == "h.com/*/**" and out[202].template == "h.com"
     assert {out[k].verdict for k in range(40)} == {"allow"} and {out[100 + k].verdict for k in range(40)} == {"block"}  # unlabelled pages of a template too
 
 
+def test_branches_are_judged_by_evidence_at_any_depth_and_size(spark):
+    """A bad section far down, with a hundredth of its parent's pages."""
+    pages = [(k, f"http://h.com/a/b/c/{'bad' if k % 100 == 0 else 's' + str(k % 9)}/{k}") for k in range(3000)]
+    labels = [(k, k % 100 > 0) for k in range(3000) if k % 3 or k % 100 == 0]
+    out = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(pages, URLS), spark.createDataFrame(labels, VOTES), []).collect()}
+    assert out[100].template == "h.com/*/*/*/bad/*" and {out[k].template for k in (1, 2, 3)} <= {"h.com/*/*/*/*/*", "h.com/*/*/*/*+1/*"}
+    assert {r.verdict for r in out.values() if r.page_id % 100 == 0} == {"block"} and {r.verdict for r in out.values() if r.page_id % 100} == {"allow"}
+
+
 def test_similar_branches_are_merged(spark):
     pages = [(k, f"http://h.com/{'xy'[k % 2]}/{k}") for k in range(60)]
     labels = [(k, k % 3 > 0) for k in range(60)]
-    out = url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "id long, good boolean"), [])
+    out = url_filter.judge_urls(spark.createDataFrame(pages, URLS), spark.createDataFrame(labels, VOTES), [])
     assert {r.template for r in out.collect()} == {"h.com/*/*"}
-    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "id long, good boolean"), []).count() == 0
+    # two bad sections among good ones are one branch, a half-bad one differs from both
+    pages = [(k, f"http://h.com/{'abcdefghpqr'[k % 11]}/{k}") for k in range(1100)]
+    labels = [(k, k % 11 < 8 or (k % 11 == 8 and k % 2 == 0)) for k in range(1100)]
+    out = {r.page_id: r.template for r in url_filter.judge_urls(spark.createDataFrame(pages, URLS), spark.createDataFrame(labels, VOTES), []).collect()}
+    assert out[8] == "h.com/p/*" and out[9] == out[10] == "h.com/*-1/*" and out[0].startswith("h.com/*")
+    assert url_filter.judge_urls(spark.createDataFrame([], URLS), spark.createDataFrame([], VOTES), []).count() == 0
 
 
 # Search
