@@ -50,3 +50,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str = "n
     often = F.broadcast(groups.where(hot))
     rest = rows.join(F.broadcast(groups.where(hot).select(*keys)), keys, "left_anti").join(groups.where(~hot), keys, how)
     return rows.join(often, keys).unionByName(rest)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """name, or with underscores in front until no table has a column of that name."""
+    while any(name.lower() == c.lower() for t in tables for c in t.columns):
+        name = "_" + name
+    return name

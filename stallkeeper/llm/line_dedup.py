@@ -8,7 +8,8 @@ first line stays, the others are dropped.
 
 Exact copies of a whole document count as one document, so groups of copies are left to near-duplicate detection.
 
-A passage that recurs inside longer lines is no line of its own: dedup_passages() finds it by clauses.
+A passage that recurs inside longer lines is no line of its own: dedup_passages() finds it by clauses, and dedup() does
+both. Rows of a hot leaf, template, clause or window are joined to what is known of it by broadcast.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallkeeper.llm.common import written
+from stallkeeper.llm.common import join_groups, unused, written
 
 LEADING = 3
 MIN_DOCS = 3
@@ -45,31 +46,34 @@ def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
 
 
 def _templates(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
-    """leaf, line and template of the lines in recurring leaves."""
+    """leaf, line, n (lines) and template of the lines in recurring leaves."""
     leaves = written(_recurring(lines, "leaf", min_docs).select("leaf"), "leaves")
     near = F.broadcast(leaves.select(_bucket().alias("bucket")).distinct())  # at most 2 ** FILTER_BITS integers
-    texts = _lines(docs).select("leaf", "line", "tokens", "raw").withColumn("bucket", _bucket()).join(near, "bucket", "left_semi").join(leaves, "leaf", "left_semi")
+    texts = _lines(docs).select("leaf", "line", "tokens", "raw").withColumn("bucket", _bucket()).join(near, "bucket", "left_semi")
     counts = texts.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"), F.first(_masked(F.col("raw"))).alias("masked"))
-    counts = written(counts, "lines")
+    counts = written(counts.join(leaves, "leaf", "left_semi"), "lines")  # different lines, no copies
     behind = F.slice(F.split("masked", " "), F.lit(LEADING + 1), F.greatest(F.col("tokens") - LEADING, F.lit(0)))
-    mixed = counts.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("kinds > 1").drop("kinds")
-    parsed = counts.where(F.col("tokens") > LEADING).join(mixed, "leaf").select("leaf", "line", "n", "total", behind.alias("rest"))
+    mixed = written(counts.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("kinds > 1"), "mixed")
+    parsed = join_groups(counts.where(F.col("tokens") > LEADING), mixed, ["leaf"], "kinds", "inner").select("leaf", "line", "n", "total", behind.alias("rest"))
     tokens = parsed.select("leaf", "n", "total", F.posexplode("rest").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"), F.first("total").alias("total"))
     common = tokens.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("top"), F.first("total").alias("total"))
     field = F.when(F.col("top.n") > F.col("total") * CONSTANT, F.col("top.token"))  # null: a wildcard
     shape = common.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", field.alias("token")))), lambda x: x["token"]).alias("shape"))
+    shape = written(shape.join(mixed.select("leaf", "kinds"), "leaf"), "shapes")
     agrees = F.aggregate(F.zip_with("rest", "shape", lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int")), F.lit(0), lambda a, x: a + x)
-    follows = parsed.join(shape, "leaf").where(agrees >= F.size("rest") * SIMILAR).select("leaf", "line", F.lit(True).alias("follows"))
-    return counts.select("leaf", "line").join(follows, ["leaf", "line"], "left").select("leaf", "line", F.when(F.col("follows"), F.xxhash64("leaf", F.lit("template"))).otherwise(F.xxhash64("leaf", "line")).alias("template"))
+    follows = join_groups(written(parsed.select("leaf", "line", "rest"), "parsed"), shape, ["leaf"], "kinds", "inner").where(agrees >= F.size("rest") * SIMILAR).select("leaf", "line", F.lit(True).alias("follows"))
+    return counts.select("leaf", "line", "n").join(follows, ["leaf", "line"], "left").select("leaf", "line", "n", F.when(F.col("follows"), F.xxhash64("leaf", F.lit("template"))).otherwise(F.xxhash64("leaf", "line")).alias("template"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, print and drop (line numbers from 0, a set) of the documents that lose lines."""
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
     lines = written(_lines(docs).drop("raw", "tokens"), "lines")
-    templated = written(lines.join(_templates(lines, docs, min_docs), ["leaf", "line"]).select("doc", "print", "line_no", "template"), "templated")
-    first = templated.groupBy("template").agg(F.min(F.struct("doc", "line_no", "print")).alias("first"))
-    gone = templated.join(_recurring(templated, "template", min_docs).join(first, "template"), "template").where(~F.struct("doc", "line_no", "print").eqNullSafe(F.col("first")))
+    known = written(_templates(lines, docs, min_docs), "templates")
+    templated = written(join_groups(lines, known, ["leaf", "line"], how="inner").select("doc", "print", "line_no", "template"), "templated")
+    first = templated.groupBy("template").agg(F.min(F.struct("doc", "line_no", "print")).alias("first"), F.count("*").alias("n"))
+    again = written(_recurring(templated, "template", min_docs).join(first, "template"), "recurring")
+    gone = join_groups(templated, again, ["template"], how="inner").where(~F.struct("doc", "line_no", "print").eqNullSafe(F.col("first")))
     return gone.groupBy("doc", "print").agg(F.collect_set("line_no").alias("drop"))
 
 
@@ -77,23 +81,26 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id
     """The rows of docs, all columns, with text_col rid of repeated lines, and n_lines and n_dropped.
 
     A recurring template's first line by id and line number stays. Null texts stay null, with 0 lines; empty and blank
-    lines are never dropped; a text of dropped lines only becomes empty. Rows that repeat id and text are one document,
-    and so treated alike; a null id comes first in order. Extra columns are kept, save n_lines and n_dropped."""
+    lines are never dropped; a text of dropped lines only becomes empty. Lines of any length are parsed whole. Rows that
+    repeat id and text are one document, and so treated alike; a null id comes first in order. Extra columns are kept,
+    save n_lines and n_dropped; an empty table stays empty."""
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    gone = dropped_lines(docs, min_docs, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("print").alias("__print"), F.col("drop").alias("__drop"))
-    joined = docs.select(*kept).join(gone, docs[id_col].eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__print")), "left")
+    doc, text_print, drop = (unused(c, docs) for c in ("__doc", "__print", "__drop"))
+    gone = dropped_lines(docs, min_docs, id_col, text_col).select(F.col("doc").alias(doc), F.col("print").alias(text_print), F.col("drop").alias(drop))
+    joined = docs.select(*kept).join(gone, F.col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(text_col) == F.col(text_print)), "left")
     lines = F.split(text_col, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in kept), n_lines.alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in kept), n_lines.alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 # Passages inside longer lines or over several lines
 
 PASSAGE = 35  # words in whole clauses that a window must exceed: of a passage of over 50 words, up to 15 may lie in clauses cut at its ends
 PASSAGE_DOCS = 2  # so long a passage isn't in two texts by chance
-_ENDS = r"(?<=\n)(?=[^\S\n]*\S)|(?<=[.!?,;:…] )(?=\S)|(?<=[。！？，])(?=\S)"  # a cut behind the end of a clause or line
+_SOLID = r"[^ \t\n\x0B\f\r]"
+_ENDS = rf"(?<=\n)(?=[ \t\x0B\f\r]*{_SOLID})|(?<=[.!?,;:…] )(?={_SOLID})|(?<=[。！？，])(?={_SOLID})"  # a cut behind the end of a clause or line
 
 
 def _clauses(docs: DataFrame) -> DataFrame:
@@ -118,9 +125,10 @@ def dropped_clauses(docs: DataFrame, min_docs: int = PASSAGE_DOCS, words: int =
     A passage consists of clauses that each recur, so only runs of these are looked at. From each clause of a run forth
     and back, the fewest that exceed words are a window; together the windows in a passage cover all of it."""
     clauses = _clauses(docs)
-    hot = written(_recurring(clauses, "leaf", min_docs).select("leaf"), "clauses")
+    hot = written(_recurring(clauses, "leaf", min_docs), "clauses")
     near = F.broadcast(hot.select(_bucket().alias("bucket")).distinct())  # at most 2 ** FILTER_BITS integers
-    found = clauses.withColumn("bucket", _bucket()).join(near, "bucket", "left_semi").join(hot, "leaf", "left_semi").drop("bucket").distinct()
+    rough = written(clauses.withColumn("bucket", _bucket()).join(near, "bucket", "left_semi").drop("bucket"), "rough")
+    found = join_groups(rough, hot, ["leaf"], "n_docs", "inner").drop("n_docs").distinct()
     run = found.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("doc", "print").orderBy("at")))
     one = Window.partitionBy("doc", "print", "run")
     run = run.withColumn("upto", F.sum("words").over(one.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("words"))
@@ -132,8 +140,9 @@ def dropped_clauses(docs: DataFrame, min_docs: int = PASSAGE_DOCS, words: int =
         return made.where(F.col("words") > words).select("doc", "print", "size", "at", "to", F.xxhash64("leaves").alias("window"), "cells")
 
     units = written(windows(one.orderBy("before").rangeBetween(0, words)).union(windows(one.orderBy("upto").rangeBetween(-words, 0))).distinct(), "windows")
-    first = units.groupBy("window").agg(F.min(F.struct("doc", "at", "print", "to", "size")).alias("first"))
-    gone = units.join(_recurring(units, "window", min_docs).join(first, "window"), "window")
+    first = units.groupBy("window").agg(F.min(F.struct("doc", "at", "print", "to", "size")).alias("first"), F.count("*").alias("n"))
+    again = written(_recurring(units, "window", min_docs).join(first, "window"), "repeated")
+    gone = join_groups(units, again, ["window"], how="inner")
     own = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("print") == F.col("first.print")) & (F.col("at") <= F.col("first.to"))  # the first one, or over it
     spans = written(gone.where(~own).select("doc", "print", "size", "n_docs", F.col("first.print").alias("other"), F.col("first.size").alias("other_size"), F.explode("cells").alias("cell")), "spans")
     copies = _copies(spans, MIN_DOCS).withColumn("copy", F.lit(True))
@@ -149,12 +158,18 @@ def dedup_passages(docs: DataFrame, min_docs: int = PASSAGE_DOCS, words: int = P
     The first occurrence by id and place stays. What stays is unchanged; a line break stays where a dropped clause ended
     a line. Null texts stay null."""
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
-    gone = dropped_clauses(own, min_docs, words).select(F.col("doc").alias("__doc"), F.col("print").alias("__print"), F.col("drop").alias("__drop"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__print")), "left")
-    joined = joined.withColumn("__parts", F.when(F.col("__drop").isNotNull(), F.split(text_col, _ENDS)))
-    parts = F.col("__parts")
+    doc, text_print, drop, split = (unused(c, docs) for c in ("__doc", "__print", "__drop", "__parts"))
+    gone = dropped_clauses(own, min_docs, words).select(F.col("doc").alias(doc), F.col("print").alias(text_print), F.col("drop").alias(drop))
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(text_col) == F.col(text_print)), "left")
+    joined = joined.withColumn(split, F.when(F.col(drop).isNotNull(), F.split(text_col, _ENDS)))
+    parts = F.col(split)
     ends = lambda x: F.endswith(x, F.lit("\n"))
     inside = lambda i: (i > 0) & ~ends(F.get(parts, i - 1))
-    kept = F.transform(parts, lambda x, i: F.when(~F.array_contains("__drop", i), x).when(ends(x) & inside(i), "\n").otherwise(""))
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
+    kept = F.transform(parts, lambda x, i: F.when(~F.array_contains(drop, i), x).when(ends(x) & inside(i), "\n").otherwise(""))
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
     return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """dedup_lines(), then dedup_passages() on what it leaves: all columns of docs, n_lines and n_dropped (lines)."""
+    return dedup_passages(written(dedup_lines(docs, id_col=id_col, text_col=text_col), "lines"), id_col=id_col, text_col=text_col)
