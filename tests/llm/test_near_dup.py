@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stallkeeper.llm import near_dup
 from stallkeeper.llm.near_dup import drop_near_duplicates, near_duplicates
@@ -83,6 +84,26 @@ def test_links_of_unlucky_sketches_are_kept(spark, seed):
     assert {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), 1).collect()} == {1: 1, 2: 1}
 
 
+@pytest.mark.parametrize(("pairs", "union"), [(500, 100), (500, 220), (60, 3000)])
+def test_isolated_pairs_just_over_the_bound_are_linked(spark, pairs, union):
+    """Words of pairs differ from all others, so nothing else joins them; similarity 0.80 to 0.82."""
+    rows = []
+    for k in range(pairs):
+        both = -(-union * (80 + k % 3) // 100)
+        w = [f"p{k}w{j}" for j in range(union)]
+        half = (union - both) // 2
+        rows += [(2 * k, " ".join(w[: both + half])), (2 * k + 1, " ".join(w[:both] + w[both + half :]))]
+    out = near_duplicates(spark.createDataFrame(rows, SCHEMA), 1).where("component_id = doc_id").count()
+    assert out == pairs
+
+
+def test_a_hot_pivot_is_verified_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "PAIRS", 7)
+    rows = [(k, " ".join([*(f"w{j}" for j in range(60)), f"own{k}"])) for k in range(100)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("__gone", F.lit(1)).withColumn("n", F.lit(2))
+    assert [r.doc_id for r in drop_near_duplicates(docs, 1).collect()] == [0]
+
+
 def test_percent_below_the_sketches_reach_is_refused(spark):
     with pytest.raises(ValueError):
         near_duplicates(spark.createDataFrame([], SCHEMA), percent=50)
