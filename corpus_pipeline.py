@@ -1,11 +1,17 @@
-"""A training corpus from documents: each stage applies one operator to all that its predecessor kept."""
+"""A training corpus from documents: each stage applies one operator to all that its predecessor kept.
+
+All stages take null and empty texts, long ones, repeated rows, empty tables and extra columns as their operators'
+docstrings say: a null or empty text isn't toxic, has no lines, is nothing's duplicate and has no benchmark words, so it
+stays, and is packed as an empty document. All but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stallkeeper.llm import decontam, line_dedup, near_dup, packing, toxicity
-from stallkeeper.llm.common import new_path, read, written
+from stallkeeper.llm.common import new_path, read
 from stallkeeper.llm.queries import TOKENIZER, toxic_labels
 
 
@@ -15,11 +21,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, then repeated passages; n_chars follows the text."""
-    from pyspark.sql import functions as F
-
-    by_line = written(line_dedup.dedup_lines(docs).select(docs.columns), "lines")
-    return line_dedup.dedup_passages(by_line).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Repeated lines go, then repeated passages; n_chars follows the text. Null texts stay null."""
+    return line_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
