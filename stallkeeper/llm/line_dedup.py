@@ -99,23 +99,51 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id
 
 PASSAGE = 35  # words in whole clauses that a window must exceed: of a passage of over 50 words, up to 15 may lie in clauses cut at its ends
 PASSAGE_DOCS = 2  # so long a passage isn't in two texts by chance
-_SOLID = r"[^ \t\n\x0B\f\r]"
-_ENDS = rf"(?<=\n)(?=[ \t\x0B\f\r]*{_SOLID})|(?<=[.!?,;:…] )(?={_SOLID})|(?<=[。！？，])(?={_SOLID})"  # a cut behind the end of a clause or line
+ANCHOR = 6  # words of a clause by which texts that share passages are found
+ANCHORED = 16  # words in recurring clauses of ANCHOR words that a passage must have
+APART = 6  # clauses between such clauses, of one passage
+#: Ends of clauses; a line break is one too.
+ENDS = r"\n|[.!?,;:…] |[。！？，]"
+_CUT, _ESCAPE = "\ue000", "\ue001"  # characters for private use; those of a text itself are escaped
 
 
-def _clauses(docs: DataFrame) -> DataFrame:
-    """A row per clause that isn't blank: doc, print, size (words of the text), at (clause number), words, clause (hash, digits masked)."""
-    size = F.length("text") - F.length(F.replace(F.replace("text", F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))) + 1
-    texts = docs.select("doc", "text", F.xxhash64("text").alias("print"), size.cast("long").alias("size"))  # once a text, not once a clause
-    rows = texts.select("doc", "print", "size", F.posexplode(F.split("text", _ENDS)).alias("at", "raw")).withColumn("raw", F.trim("raw", F.lit(" \n\r\t"))).where("raw != ''")
-    words = F.length("raw") - F.length(F.replace("raw", F.lit(" "), F.lit(""))) + 1
-    return rows.select("doc", "print", "size", "at", words.cast("long").alias("words"), F.xxhash64(_masked(F.col("raw"))).alias("leaf"))
+def _parts(text: str | Column) -> Column:
+    """A text's clauses, with what ends them. Joined and unescaped they are the text."""
+    own = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "a")), F.lit(_CUT), F.lit(_ESCAPE + "b"))
+    return F.split(F.regexp_replace(own, f"({ENDS})", "$1" + _CUT), _CUT)
 
 
-def _copies(spans: DataFrame, min_docs: int) -> DataFrame:
+def _unescaped(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(_ESCAPE + "b"), F.lit(_CUT)), F.lit(_ESCAPE + "a"), F.lit(_ESCAPE))
+
+
+def _clauses(docs: DataFrame, least: int = 1) -> DataFrame:
+    """A row per clause of least words or more: doc, print, size (words of the text), at (clause number), words, leaf (of
+    the clause, digits masked)."""
+    bare = F.replace(F.replace("text", F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+    size = (F.octet_length("text") - F.octet_length(bare) + 1).cast("long")
+    texts = docs.select("doc", F.xxhash64("text").alias("print"), size.alias("size"), _parts(_masked(F.col("text"))).alias("parts"))  # masked once a text
+    rows = texts.select("doc", "print", "size", F.posexplode("parts").alias("at", "raw")).withColumn("raw", F.trim("raw", F.lit(" \n\r\t"))).where("raw != ''")
+    words = (F.octet_length("raw") - F.octet_length(F.replace("raw", F.lit(" "), F.lit(""))) + 1).cast("long")
+    return rows.withColumn("words", words).where(F.col("words") >= least).select("doc", "print", "size", "at", "words", F.xxhash64("raw").alias("leaf"))
+
+
+def _sharing(docs: DataFrame) -> DataFrame:
+    """doc and print of the texts that may share a passage: ANCHORED words in clauses of ANCHOR words or more that recur,
+    near each other. The same clauses recur in all texts that share a passage, so all of these are found."""
+    anchors = written(_clauses(docs, ANCHOR).drop("size"), "anchors")
+    hot = anchors.groupBy("leaf").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.count("*").alias("n")).where("low != high")
+    met = join_groups(anchors, written(hot.select("leaf", "n"), "met"), ["leaf"], how="inner")
+    order = Window.partitionBy("doc", "print").orderBy("at")
+    met = met.withColumn("run", F.sum((F.col("at") - F.lag("at", 1, 0).over(order) > APART + 1).cast("int")).over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    return met.groupBy("doc", "print", "run").agg(F.sum("words").alias("words")).where(F.col("words") >= ANCHORED).select("doc", "print").distinct()
+
+
+def _copies(spans: DataFrame, clauses: DataFrame, min_docs: int) -> DataFrame:
     """print and other: pairs of texts of which the passages that no third text has make up half of either text or more."""
     cells = spans.where((F.col("n_docs") < min_docs) & (F.col("print") != F.col("other"))).select("print", "other", "size", "other_size", "cell").distinct()
-    both = cells.groupBy("print", "other").agg(F.sum("cell.words").alias("shared"), F.max(F.greatest("size", "other_size")).alias("larger"))
+    long = clauses.select("print", F.col("at").alias("cell"), "words").distinct()
+    both = cells.join(long, ["print", "cell"]).groupBy("print", "other").agg(F.sum("words").alias("shared"), F.max(F.greatest("size", "other_size")).alias("larger"))
     return both.where(F.col("shared") * 2 >= F.col("larger")).select("print", "other")
 
 
@@ -124,6 +152,8 @@ def dropped_clauses(docs: DataFrame, min_docs: int = PASSAGE_DOCS, words: int =
 
     A passage consists of clauses that each recur, so only runs of these are looked at. From each clause of a run forth
     and back, the fewest that exceed words are a window; together the windows in a passage cover all of it."""
+    near = written(_sharing(docs), "sharing")
+    docs = written(docs.join(near, docs.doc.eqNullSafe(near.doc) & (F.xxhash64("text") == near.print), "left_semi"), "shared")
     clauses = _clauses(docs)
     hot = written(_recurring(clauses, "leaf", min_docs), "clauses")
     near = F.broadcast(hot.select(_bucket().alias("bucket")).distinct())  # at most 2 ** FILTER_BITS integers
@@ -136,18 +166,18 @@ def dropped_clauses(docs: DataFrame, min_docs: int = PASSAGE_DOCS, words: int =
 
     def windows(frame):
         of = lambda c: c.over(frame)
-        made = run.select("doc", "print", "size", of(F.min("at")).alias("at"), of(F.max("at")).alias("to"), of(F.sum("words")).alias("words"), of(F.collect_list("leaf")).alias("leaves"), of(F.collect_list(F.struct("at", "words"))).alias("cells"))
-        return made.where(F.col("words") > words).select("doc", "print", "size", "at", "to", F.xxhash64("leaves").alias("window"), "cells")
+        made = run.select("doc", "print", "size", of(F.min("at")).alias("at"), of(F.max("at")).alias("to"), of(F.sum("words")).alias("words"), of(F.collect_list("leaf")).alias("leaves"))
+        return made.where(F.col("words") > words).select("doc", "print", "size", "at", "to", F.xxhash64("leaves").alias("window"))
 
     units = written(windows(one.orderBy("before").rangeBetween(0, words)).union(windows(one.orderBy("upto").rangeBetween(-words, 0))).distinct(), "windows")
     first = units.groupBy("window").agg(F.min(F.struct("doc", "at", "print", "to", "size")).alias("first"), F.count("*").alias("n"))
     again = written(_recurring(units, "window", min_docs).join(first, "window"), "repeated")
     gone = join_groups(units, again, ["window"], how="inner")
     own = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("print") == F.col("first.print")) & (F.col("at") <= F.col("first.to"))  # the first one, or over it
-    spans = written(gone.where(~own).select("doc", "print", "size", "n_docs", F.col("first.print").alias("other"), F.col("first.size").alias("other_size"), F.explode("cells").alias("cell")), "spans")
-    copies = _copies(spans, MIN_DOCS).withColumn("copy", F.lit(True))
+    spans = written(gone.where(~own).select("doc", "print", "size", "n_docs", F.col("first.print").alias("other"), F.col("first.size").alias("other_size"), F.explode(F.sequence("at", "to")).alias("cell")), "spans")
+    copies = _copies(spans, run, MIN_DOCS).withColumn("copy", F.lit(True))
     spans = spans.join(copies, ["print", "other"], "left").where((F.col("n_docs") >= MIN_DOCS) | F.col("copy").isNull())
-    return spans.groupBy("doc", "print").agg(F.collect_set("cell.at").alias("drop"))
+    return spans.groupBy("doc", "print").agg(F.collect_set("cell").alias("drop"))
 
 
 def dedup_passages(docs: DataFrame, min_docs: int = PASSAGE_DOCS, words: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,12 +191,12 @@ def dedup_passages(docs: DataFrame, min_docs: int = PASSAGE_DOCS, words: int = P
     doc, text_print, drop, split = (unused(c, docs) for c in ("__doc", "__print", "__drop", "__parts"))
     gone = dropped_clauses(own, min_docs, words).select(F.col("doc").alias(doc), F.col("print").alias(text_print), F.col("drop").alias(drop))
     joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(text_col) == F.col(text_print)), "left")
-    joined = joined.withColumn(split, F.when(F.col(drop).isNotNull(), F.split(text_col, _ENDS)))
+    joined = joined.withColumn(split, F.when(F.col(drop).isNotNull(), _parts(text_col)))
     parts = F.col(split)
     ends = lambda x: F.endswith(x, F.lit("\n"))
     inside = lambda i: (i > 0) & ~ends(F.get(parts, i - 1))
     kept = F.transform(parts, lambda x, i: F.when(~F.array_contains(drop, i), x).when(ends(x) & inside(i), "\n").otherwise(""))
-    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(_unescaped(F.array_join(kept, "")))
     return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 

@@ -75,7 +75,11 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_passages(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,10 +97,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_url_filter, op2_minhash_near_dedup, op3_topk_search, op4_chat_format, op5_language_id, op6_toxicity, op7_warc_revisits, op8_line_dedup, op9_best_fit_packing, op10_decontamination, pipeline)
+    own = (op1_url_filter, op2_minhash_near_dedup, op3_topk_search, op4_chat_format, op5_language_id, op6_toxicity, op7_warc_revisits, op8_line_dedup, passage_dedup, op9_best_fit_packing, op10_decontamination, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Not of op5 and op6 (classifiers), op9 (a tokenizer) and the pipeline, which tests hold against brute force."""
-    return {"op1_url_filter": sql.op1(URL_RULES), "op2_minhash_near_dedup": sql.OP2, "op3_topk_search": sql.OP3, "op4_chat_format": sql.op4(PROBE), "op7_warc_revisits": sql.op7(), "op8_line_dedup": sql.op8(), "op10_decontamination": sql.OP10}
+    return {"op1_url_filter": sql.op1(URL_RULES), "op2_minhash_near_dedup": sql.OP2, "op3_topk_search": sql.OP3, "op4_chat_format": sql.op4(PROBE), "op7_warc_revisits": sql.op7(), "op8_line_dedup": sql.op8(), "passage_dedup": sql.passages(), "op10_decontamination": sql.OP10}

@@ -110,34 +110,34 @@ def op8() -> str:
     named AS (SELECT l.doc_id, l.text, l.line_no, CASE WHEN f.line IS NULL THEN l.leaf || ' = ' || l.line ELSE l.leaf || ' follows' END AS template FROM lines l SEMI JOIN hot h ON h.leaf = l.leaf LEFT JOIN follows f ON f.leaf = l.leaf AND f.line = l.line),
     recurring AS (SELECT template, min((doc_id, line_no)) AS first FROM named GROUP BY template HAVING count(DISTINCT text) >= {docs}),
     gone AS (SELECT n.doc_id, list(n.line_no) AS gone FROM named n JOIN recurring r USING (template) WHERE (n.doc_id, n.line_no) <> r.first GROUP BY n.doc_id),
-    kept AS (SELECT doc_id, n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped, text, list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)) AS left_over FROM (SELECT *, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines FROM documents) LEFT JOIN gone USING (doc_id)),
-    lined AS MATERIALIZED (SELECT doc_id, n_lines, n_dropped, CASE WHEN text IS NOT NULL THEN array_to_string(left_over, chr(10)) END AS text FROM kept),
-    {_passages()}"""
-
-
-def _passages() -> str:
-    """Of lined (doc_id, n_lines, n_dropped, text): passages go. A character for private use marks the cuts."""
-    mark = chr(0xE000)
-    words, docs, many, solid = line_dedup.PASSAGE, line_dedup.PASSAGE_DOCS, line_dedup.MIN_DOCS, line_dedup._SOLID.replace("]", mark + "]")
-    cut = rf"regexp_replace(text, '(\n)([ \t\x0B\f\r]*{line_dedup._SOLID})', '\1{mark}\2', 'g')"
-    for ends in ("[.!?,;:…] ", "[.!?,;:…] ", "[。！？，]", "[。！？，]"):  # twice: a match takes the character behind the cut
-        cut = rf"regexp_replace({cut}, '({ends})({solid})', '\1{mark}\2', 'g')"
-    window = lambda order, frame: f"""SELECT doc_id, text, size, min(pos) OVER w AS pos, max(pos) OVER w AS upto_at, sum(words) OVER w AS words, list(leaf) OVER w AS leaves, list({{'pos': pos, 'words': words}}) OVER w AS cells
+    kept AS (SELECT doc_id, n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped, text, list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)) AS left_over FROM (SELECT *, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines FROM documents) LEFT JOIN gone USING (doc_id))
+    SELECT doc_id, n_lines, n_dropped, CASE WHEN text IS NOT NULL THEN array_to_string(left_over, chr(10)) END AS text FROM kept"""
+
+
+def passages() -> str:
+    """A character for private use marks the cuts; the tables' texts don't have it."""
+    words, docs, many, mark = line_dedup.PASSAGE, line_dedup.PASSAGE_DOCS, line_dedup.MIN_DOCS, line_dedup._CUT
+    window = lambda order, frame: f"""SELECT doc_id, text, size, min(pos) OVER w AS pos, max(pos) OVER w AS upto_pos, sum(words) OVER w AS words, list(leaf) OVER w AS leaves
             FROM runs WINDOW w AS (PARTITION BY doc_id, run ORDER BY {order} RANGE BETWEEN {frame})"""
-    return rf"""cuts AS MATERIALIZED (SELECT doc_id, text, length(text) - length(replace(replace(text, ' ', ''), chr(10), '')) + 1 AS size, string_split({cut}, '{mark}') AS parts FROM lined WHERE text IS NOT NULL),
-    clauses AS MATERIALIZED (
+    return rf"""
+    WITH cuts AS MATERIALIZED (SELECT doc_id, text, string_split(regexp_replace(text, '({line_dedup.ENDS})', '\1{mark}', 'g'), '{mark}') AS parts FROM documents WHERE text IS NOT NULL),
+    everything AS MATERIALIZED (
         SELECT doc_id, text, size, pos, length(raw) - length(replace(raw, ' ', '')) + 1 AS words, regexp_replace(raw, '[0-9]+', '<*>', 'g') AS leaf
-        FROM (SELECT doc_id, text, size, generate_subscripts(parts, 1) - 1 AS pos, trim(unnest(parts), ' ' || chr(10) || chr(13) || chr(9)) AS raw FROM cuts) WHERE raw <> ''),
+        FROM (SELECT doc_id, text, length(text) - length(replace(replace(text, ' ', ''), chr(10), '')) + 1 AS size, generate_subscripts(parts, 1) - 1 AS pos, trim(unnest(parts), ' ' || chr(10) || chr(13) || chr(9)) AS raw FROM cuts) WHERE raw <> ''),
+    anchors AS (SELECT *, pos - coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), 0) > {line_dedup.APART + 1} AS far FROM everything WHERE words >= {line_dedup.ANCHOR}
+        AND leaf IN (SELECT leaf FROM everything WHERE words >= {line_dedup.ANCHOR} GROUP BY leaf HAVING count(DISTINCT text) > 1)),
+    sharing AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, words, sum(far::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM anchors) GROUP BY doc_id, run HAVING sum(words) >= {line_dedup.ANCHORED}),
+    clauses AS MATERIALIZED (SELECT * FROM everything SEMI JOIN sharing USING (doc_id)),
     met AS (SELECT leaf FROM clauses GROUP BY leaf HAVING count(DISTINCT text) >= {docs}),
     numbered AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM clauses SEMI JOIN met USING (leaf)),
     runs AS MATERIALIZED (SELECT *, upto - words AS before FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id, run ORDER BY pos) AS upto, sum(words) OVER (PARTITION BY doc_id, run) AS whole FROM numbered) WHERE whole > {words}),
-    units AS MATERIALIZED (SELECT DISTINCT doc_id, text, size, pos, upto_at, leaves, cells FROM ({window("before", f"CURRENT ROW AND {words} FOLLOWING")} UNION ALL {window("upto", f"{words} PRECEDING AND CURRENT ROW")}) WHERE words > {words}),
-    repeated AS (SELECT leaves, count(DISTINCT text) AS n_docs, arg_min({{'doc_id': doc_id, 'text': text, 'upto_at': upto_at, 'size': size}}, (doc_id, pos, upto_at)) AS f FROM units GROUP BY leaves HAVING count(DISTINCT text) >= {docs}),
-    spans AS MATERIALIZED (SELECT u.doc_id, u.text, u.size, n_docs, f.text AS other, f.size AS other_size, unnest(cells) AS cell FROM units u JOIN repeated r USING (leaves) WHERE NOT (u.doc_id = f.doc_id AND u.pos <= f.upto_at)),
-    copies AS (SELECT text, other FROM (SELECT DISTINCT text, other, size, other_size, cell FROM spans WHERE n_docs < {many} AND text <> other) GROUP BY text, other HAVING sum(cell.words) * 2 >= max(greatest(size, other_size))),
-    loses AS (SELECT doc_id, list_distinct(list(cell.pos)) AS drops FROM spans WHERE n_docs >= {many} OR (text, other) NOT IN (SELECT (text, other) FROM copies) GROUP BY doc_id)
-    SELECT l.doc_id, n_lines, n_dropped, CASE WHEN drops IS NULL THEN l.text ELSE array_to_string(list_transform(parts, lambda x, i: CASE WHEN NOT list_contains(drops, i - 1) THEN x WHEN ends_with(x, chr(10)) AND i > 1 AND NOT ends_with(parts[i - 1], chr(10)) THEN chr(10) ELSE '' END), '') END AS text
-    FROM lined l LEFT JOIN cuts c ON c.doc_id = l.doc_id LEFT JOIN loses o ON o.doc_id = l.doc_id"""
+    units AS MATERIALIZED (SELECT DISTINCT doc_id, text, size, pos, upto_pos, leaves FROM ({window("before", f"CURRENT ROW AND {words} FOLLOWING")} UNION ALL {window("upto", f"{words} PRECEDING AND CURRENT ROW")}) WHERE words > {words}),
+    repeated AS (SELECT leaves, count(DISTINCT text) AS n_docs, arg_min({{'doc_id': doc_id, 'text': text, 'upto_pos': upto_pos, 'size': size}}, (doc_id, pos, upto_pos)) AS f FROM units GROUP BY leaves HAVING count(DISTINCT text) >= {docs}),
+    spans AS MATERIALIZED (SELECT u.doc_id, u.text, u.size, n_docs, f.text AS other, f.size AS other_size, unnest(range(u.pos, u.upto_pos + 1)) AS cell FROM units u JOIN repeated r USING (leaves) WHERE NOT (u.doc_id = f.doc_id AND u.pos <= f.upto_pos)),
+    copies AS (SELECT text, other FROM (SELECT DISTINCT text, other, size, other_size, cell FROM spans WHERE n_docs < {many} AND text <> other) JOIN (SELECT DISTINCT text, pos AS cell, words FROM runs) USING (text, cell) GROUP BY text, other HAVING sum(words) * 2 >= max(greatest(size, other_size))),
+    loses AS (SELECT doc_id, list_distinct(list(cell)) AS drops FROM spans WHERE n_docs >= {many} OR (text, other) NOT IN (SELECT (text, other) FROM copies) GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN drops IS NULL THEN d.text ELSE array_to_string(list_transform(parts, lambda x, i: CASE WHEN NOT list_contains(drops, i - 1) THEN x WHEN ends_with(x, chr(10)) AND i > 1 AND NOT ends_with(parts[i - 1], chr(10)) THEN chr(10) ELSE '' END), '') END AS text
+    FROM documents d LEFT JOIN cuts c ON c.doc_id = d.doc_id LEFT JOIN loses o ON o.doc_id = d.doc_id"""
 
 
 OP10 = rf"""

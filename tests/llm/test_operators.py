@@ -230,10 +230,11 @@ def test_passages_inside_longer_lines_are_dropped(spark):
     r = random.Random(8)
     words = lambda n: " ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(n))
     passage = " ".join(words(n) + "." for n in (9, 20, 14, 60, 12))
-    docs = [(k, f"{words(30)}. {passage} {words(20)}.\nThe end.") for k in range(4)] + [(10, f"{words(9)}.\n{passage}\n{words(8)}"), (11, f"{words(5)}. {passage}"), (12, None), (13, "The end."), (14, "\n \n  x. \n")]
+    docs = [(k, f"{words(30)}. {passage} {words(20)}.\nThe end.") for k in range(4)] + [(10, f"{words(9)}.\n{passage}\n{words(8)}"), (11, f"{words(5)}. {passage}"), (12, None), (13, "The end."), (14, "\n \n  x. \n"), (15, f"\ue000 \ue001a\n{passage} \ue001b\ue000")]
     out = {x.doc_id: x.text for x in line_dedup.dedup_passages(spark.createDataFrame(docs, DOCS)).collect()}
     assert all(out[k] == docs[i][1] for i, k in ((0, 0), (6, 12), (7, 13), (8, 14)))  # the first stays, and what is short
     assert all(out[k] == docs[k][1].replace(passage + " ", "") for k in (1, 2, 3))
+    assert out[15] == docs[9][1].replace(passage + " ", "")
     assert out[10] == docs[4][1].replace(passage, "") and out[11] == docs[5][1].replace(passage, "")
 
 
