@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
 HOT = 1000  # a key that more than one in so many rows have is hot: there are fewer than HOT of these
 
 
@@ -57,3 +58,13 @@ def unused(name: str, *tables: DataFrame) -> str:
     while any(name.lower() == c.lower() for t in tables for c in t.columns):
         name = "_" + name
     return name
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, after which Python workers get BATCH_ROWS rows at a time at most: texts are long, and a worker holds a batch in
+    several forms at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return docs

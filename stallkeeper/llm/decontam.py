@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stallkeeper.llm.common import small_batches
+
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
 #: Bytes of UTF-8 to words: A-Z to a-z; 0-9, a-z and 0x80 up stay; the rest separates.
@@ -115,7 +117,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
 
     Null and empty texts have no words and no hits. Benchmark rows without text, words or id are left out; items that
     share a window all count. Repeated rows are judged each by itself. Other columns are ignored."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     for patterns in _blocks(benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(item_col, text_col), width, block_bytes):
         rows = rows.mapInArrow(_scan(patterns, rows.columns), f"id {kind}, text string, {RESULT}")
@@ -132,7 +134,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without documents in which any benchmark window occurs. Rows without an id stay
     only if their text has no hit."""
-    rows = docs
+    rows = small_batches(docs)
     for patterns in _blocks(benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text"), width, BLOCK_BYTES):
         rows = rows.where(_clean(patterns)(F.col(text_col))) if patterns else rows
     return rows

@@ -32,7 +32,7 @@ def _masked(text: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """A row per line that isn't blank: doc, print (of the whole text), line_no, raw, tokens, leaf, line (of the masked line)."""
-    rows = docs.select("doc", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).withColumn("raw", F.trim("raw")).where("raw != ''")
+    rows = docs.select("doc", F.xxhash64("text").alias("print"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "raw")).withColumn("raw", F.trim("raw")).where("raw != ''")
     tokens = F.length("raw") - F.length(F.replace("raw", F.lit(" "), F.lit(""))) + 1
     return rows.select("doc", "print", "line_no", "raw", tokens.alias("tokens"), F.xxhash64(tokens, _masked(F.substring_index("raw", " ", LEADING))).alias("leaf"), F.xxhash64(tokens, _masked(F.col("raw"))).alias("line"))
 
@@ -123,7 +123,7 @@ def _clauses(docs: DataFrame, least: int = 1) -> DataFrame:
     bare = F.replace(F.replace("text", F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
     size = (F.octet_length("text") - F.octet_length(bare) + 1).cast("long")
     texts = docs.select("doc", F.xxhash64("text").alias("print"), size.alias("size"), _parts(_masked(F.col("text"))).alias("parts"))  # masked once a text
-    rows = texts.select("doc", "print", "size", F.posexplode("parts").alias("at", "raw")).withColumn("raw", F.trim("raw", F.lit(" \n\r\t"))).where("raw != ''")
+    rows = texts.select("doc", "print", "size", F.posexplode_outer("parts").alias("at", "raw")).withColumn("raw", F.trim(F.replace("raw", F.lit("\n"), F.lit("")))).where("raw != ''")
     words = (F.octet_length("raw") - F.octet_length(F.replace("raw", F.lit(" "), F.lit(""))) + 1).cast("long")
     return rows.withColumn("words", words).where(F.col("words") >= least).select("doc", "print", "size", "at", "words", F.xxhash64("raw").alias("leaf"))
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallkeeper.llm.common import join_groups, unused, written
+from stallkeeper.llm.common import join_groups, small_batches, unused, written
 
 SKETCH = 64
 OVERLAP = 0.55
@@ -84,7 +84,7 @@ def _features(words: int):
 
 def features(docs: DataFrame, words: int) -> DataFrame:
     """id, n (set size), sig1 and sig2 (128 bits of the set), sketch, of a table with id and text."""
-    return docs.select("id", "text").mapInArrow(_features(words), "id long, n long, sig1 long, sig2 long, sketch array<long>")
+    return small_batches(docs).select("id", "text").mapInArrow(_features(words), "id long, n long, sig1 long, sig2 long, sketch array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallkeeper.llm.common import written
+from stallkeeper.llm.common import small_batches, written
 
 LENGTH = 1024
 END = 2
@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int | Non
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    out = small_batches(docs).select(id_col, text_col).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -123,7 +123,7 @@ def passages() -> str:
     WITH cuts AS MATERIALIZED (SELECT doc_id, text, string_split(regexp_replace(text, '({line_dedup.ENDS})', '\1{mark}', 'g'), '{mark}') AS parts FROM documents WHERE text IS NOT NULL),
     everything AS MATERIALIZED (
         SELECT doc_id, text, size, pos, length(raw) - length(replace(raw, ' ', '')) + 1 AS words, regexp_replace(raw, '[0-9]+', '<*>', 'g') AS leaf
-        FROM (SELECT doc_id, text, length(text) - length(replace(replace(text, ' ', ''), chr(10), '')) + 1 AS size, generate_subscripts(parts, 1) - 1 AS pos, trim(unnest(parts), ' ' || chr(10) || chr(13) || chr(9)) AS raw FROM cuts) WHERE raw <> ''),
+        FROM (SELECT doc_id, text, length(text) - length(replace(replace(text, ' ', ''), chr(10), '')) + 1 AS size, generate_subscripts(parts, 1) - 1 AS pos, trim(replace(unnest(parts), chr(10), '')) AS raw FROM cuts) WHERE raw <> ''),
     anchors AS (SELECT *, pos - coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), 0) > {line_dedup.APART + 1} AS far FROM everything WHERE words >= {line_dedup.ANCHOR}
         AND leaf IN (SELECT leaf FROM everything WHERE words >= {line_dedup.ANCHOR} GROUP BY leaf HAVING count(DISTINCT text) > 1)),
     sharing AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, words, sum(far::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM anchors) GROUP BY doc_id, run HAVING sum(words) >= {line_dedup.ANCHORED}),

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallkeeper.llm.common import join_groups, written
+from stallkeeper.llm.common import join_groups, small_batches, written
 from stallkeeper.llm.decontam import words_of
 
 K1, B = 1.2, 0.75
@@ -154,7 +154,7 @@ def _query_terms(queries: DataFrame) -> DataFrame:
             ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["query", "term"])
 
-    return queries.mapInArrow(run, "query long, term long")
+    return small_batches(queries).mapInArrow(run, "query long, term long")
 
 
 def _weighted(index: DataFrame, queries: DataFrame, n: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallkeeper.llm.common import written
+from stallkeeper.llm.common import small_batches, written
 
 TRAIN_DOCS = 20_000
 FEATURES = 2000
@@ -108,7 +108,7 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     if total > train_docs:
         own = own.where(F.pmod(F.xxhash64(F.lit("train"), "__id"), F.lit(1_000_000)) < int(1_000_000 * train_docs / total) + 1)
     own = written(own, "train-ids")
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(own), "__id").select("text", "y")
+    rows = small_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(own), "__id").select("text", "y")
     rows = written(rows, "train")
     found = rows.count()
     return written(rows.sample(train_docs / found, seed=1), "train") if found > 1.2 * train_docs else rows
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, score double")
+    out = small_batches(docs).select(id_col, text_col).mapInArrow(run, f"id {kind}, score double")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -176,4 +176,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
     def scored(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: model.score(None if t is None else t.encode()))
 
-    return docs.where(scored(F.col(text_col)) < threshold)
+    return small_batches(docs).where(scored(F.col(text_col)) < threshold)
