@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from stallkeeper.config import Book
 from stallkeeper.functions import keys as k
-from stallkeeper.functions import orderstats as o
 from stallkeeper.functions import valuation as v
 
 
@@ -58,5 +57,3 @@ def extremes(df: DataFrame, value: str, tie: str, n: int) -> DataFrame:
     best = df.orderBy(F.desc(value), tie).limit(n).withColumn("end", F.lit("best"))
     return best.unionByName(df.orderBy(F.asc(value), tie).limit(n).withColumn("end", F.lit("worst")))
 
-
-upper_median = o.upper_median

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stallkeeper.config import Pricing
 from stallkeeper.functions import orderstats as o
 from stallkeeper.functions import valuation as v
+from stallkeeper.functions.counts import counts_below
 
 
 def fresh(sales: DataFrame, now: float, c: Pricing) -> DataFrame:
@@ -31,10 +32,12 @@ def significant(groups: DataFrame, base: DataFrame, c: Pricing) -> DataFrame:
 
 
 def with_final_key(sales: DataFrame, features: DataFrame) -> DataFrame:
-    """Adds fk: bk, and # with the sale's significant features. Features are exploded, joined and gathered per sale."""
-    tokens = sales.select("sale_id", "bk", F.explode("features").alias("feature")).join(features.select("bk", "feature"), ["bk", "feature"])
-    keys = tokens.groupBy("sale_id").agg(F.array_join(F.array_sort(F.collect_set("feature")), "+").alias("sig"))
-    return sales.join(keys, "sale_id", "left").withColumn("fk", F.when(F.col("sig").isNotNull(), F.concat("bk", F.lit("#"), "sig")).otherwise(F.col("bk"))).drop("sig")
+    """Adds fk: bk, and # with the sale's significant features, sorted. A key's significant features are a short list that
+    its sales are joined to; sales are neither exploded nor gathered."""
+    known = features.groupBy("bk").agg(F.collect_set("feature").alias("sig"))
+    own = F.array_sort(F.array_intersect("features", F.coalesce("sig", F.array().cast("array<string>"))))
+    joined = sales.join(known, "bk", "left").withColumn("sig", own)
+    return joined.withColumn("fk", F.when(F.size("sig") > 0, F.concat("bk", F.lit("#"), F.array_join("sig", "+"))).otherwise(F.col("bk"))).drop("sig")
 
 
 def signatures(features: DataFrame) -> DataFrame:
@@ -108,12 +111,14 @@ def base_volume(sales: DataFrame, c: Pricing) -> DataFrame:
 
 def dominance_floor(listings: DataFrame, sales: DataFrame, c: Pricing) -> DataFrame:
     """Per listing (uuid, bk, features): the floor over sales of its bk, among the newest dominance_rows, whose features
-    the listing's contain: what it should fetch at least."""
+    the listing's contain: what it should fetch at least. Computed once for each different (bk, features)."""
     refs = o.newest(sales, ["bk"], ["sold_at", "sale_id"], c.dominance_rows).select("bk", "price", "sold_at", "seller", "sale_id", F.col("features").alias("theirs"))
-    pool = listings.select("uuid", "bk", F.col("features").alias("ours")).join(refs, "bk").where(o.multiset_contains(F.col("ours"), F.col("theirs")))
-    floor = o.seller_floor(pool, ["uuid"], ["sale_id"]).groupBy("uuid").agg(F.median("price").alias("target"), F.count("*").alias("samples"), (F.count("*") / o.span_days("sold_at", c.max_age_days)).alias("volume_per_day"))
-    share = pool.groupBy("uuid", "seller").agg(F.count("*").alias("c")).groupBy("uuid").agg((F.max(F.when(F.coalesce("seller", F.lit("")) != "", F.col("c")).otherwise(0)) / F.sum("c") >= c.manipulated_share).alias("manipulated"))
-    return floor.where(F.col("samples") >= c.min_refs).join(share, "uuid")
+    own = listings.select("uuid", "bk", F.array_sort("features").alias("ours"))
+    keys = ["bk", "ours"]
+    pool = own.select(*keys).distinct().join(refs, "bk").where(o.multiset_contains(F.col("ours"), F.col("theirs")))
+    floor = o.seller_floor(pool, keys, ["sale_id"]).groupBy(*keys).agg(F.median("price").alias("target"), F.count("*").alias("samples"), (F.count("*") / o.span_days("sold_at", c.max_age_days)).alias("volume_per_day"))
+    share = pool.groupBy(*keys, "seller").agg(F.count("*").alias("c")).groupBy(*keys).agg((F.max(F.when(F.coalesce("seller", F.lit("")) != "", F.col("c")).otherwise(0)) / F.sum("c") >= c.manipulated_share).alias("manipulated"))
+    return own.join(floor.where(F.col("samples") >= c.min_refs).join(share, keys), keys).select("uuid", "target", "samples", "volume_per_day", "manipulated")
 
 
 def key_ladder(items: DataFrame, stats: DataFrame, c: Pricing) -> DataFrame:
@@ -126,8 +131,8 @@ def key_ladder(items: DataFrame, stats: DataFrame, c: Pricing) -> DataFrame:
 def band_volume(sales: DataFrame, asks: DataFrame, c: Pricing) -> DataFrame:
     """asks (id, bk, ask): sales a day at the ask or more."""
     span = sales.groupBy("bk").agg(o.span_days("sold_at", c.max_age_days).alias("span"))
-    hit = asks.join(sales.select("bk", "price"), "bk").where("price >= ask").groupBy("id").agg(F.count("*").alias("n"))
-    return asks.join(span, "bk").join(hit, "id", "left").select("id", (F.coalesce("n", F.lit(0)) / F.col("span")).alias("per_day"))
+    found = counts_below(sales.select("bk", "price"), asks.select("id", "bk", "ask"), ["bk"], "price", "ask")
+    return found.join(span, "bk").select("id", ((F.col("of") - F.col("below")) / F.col("span")).alias("per_day"))
 
 
 def zero_star(sales_median: DataFrame, clean: DataFrame, keys: DataFrame) -> DataFrame:

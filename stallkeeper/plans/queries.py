@@ -14,6 +14,7 @@ from stallkeeper.functions import orderstats as o
 from stallkeeper.functions import valuation as v
 from stallkeeper.operators import book, filters, index, lanes, ledger, model, survival
 from stallkeeper.plans import views
+from stallkeeper.sources.tables import materialised
 from stallkeeper.plans.views import CONFIG, DAY, KEYED, LEVELS, LISTINGS, NOW, SALES, SNAPSHOTS, STATS, floored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -535,9 +536,14 @@ def _lane(df: DataFrame) -> DataFrame:
 
 
 def _parts(spark, d):
-    own = views.keyed_sales(spark, d)
-    live = views.listings(spark, d)
-    return own, live, lanes.with_market(live), index.key_stats(own, NOW, CONFIG)
+    """Keyed sales, listings, listings with their market, and statistics: each written once, since several lanes read it."""
+    own = materialised(views.keyed_sales(spark, d), "keyed")
+    live = views.listings_of(own)
+    return own, live, materialised(lanes.with_market(live), "market"), materialised(index.key_stats(own, NOW, CONFIG), "stats")
+
+
+def _unpriced(live: DataFrame, stats: DataFrame) -> DataFrame:
+    return live.join(stats.select("fk"), "fk", "left_anti")
 
 
 @query("L1_snipe", f"WITH {LISTINGS}, {_CLEAN}, {_SNIPE} SELECT {_LANE} FROM snipe")
@@ -555,7 +561,7 @@ def l2(spark, d):
 @query("L4_dominance", f"WITH {LISTINGS}, {_DOMINANCE}, {_DOM} SELECT {_LANE} FROM dominance")
 def l4(spark, d):
     own, live, market, stats = _parts(spark, d)
-    return _lane(lanes.dominance_lane(market, index.dominance_floor(live, own, RARE), stats, LANES))
+    return _lane(lanes.dominance_lane(market, index.dominance_floor(_unpriced(live, stats), own, RARE), stats, LANES))
 
 
 @query("L5_lbin", f"WITH {LISTINGS}, {_LBIN} SELECT {_LANE} FROM lbin")
@@ -581,21 +587,23 @@ def l6(spark, d):
 def l7(spark, d):
     own, live, market, stats = _parts(spark, d)
     found = lanes.first_lane(
-        lanes.snipe(market, index.clean_values(own, CONFIG), LANES), lanes.median_lane(market, stats, LANES).where("reason is null"), lanes.dominance_lane(market, index.dominance_floor(live, own, RARE), stats, LANES), lanes.lbin_lane(market, index.base_stats(own), index.cheap_median(own), LANES)
+        lanes.snipe(market, index.clean_values(own, CONFIG), LANES), lanes.median_lane(market, stats, LANES).where("reason is null"), lanes.dominance_lane(market, index.dominance_floor(_unpriced(live, stats), own, RARE), stats, LANES), lanes.lbin_lane(market, index.base_stats(own), index.cheap_median(own), LANES)
     )
     return _lane(lanes.throttle(found, live, None, LANES)).select("uuid", "finder", "price", "reference", "profit", "confidence", "guard")
 
 
 _PLANS = f"""{_BOOK_STATS}, last AS (SELECT product, arg_max(ask, ts) AS ask, arg_max(bid, ts) AS bid, count(*)::DOUBLE AS flow FROM snapshots GROUP BY product),
-    b1 AS (SELECT *, (floor(bid * 10) + 1) / 10 AS buy_at, (ceil(ask * 10) - 1) / 10 AS exit_at FROM last JOIN book USING (product)),
-    b2 AS (SELECT *, floor(least(1e5 / buy_at, flow)) AS units, exit_at * {1 - BOOK.tax} - buy_at AS net FROM b1)"""
+    b0 AS (SELECT *, (floor(bid * 10) + 1) / 10 AS buy_at, floor(least(1e5 / ((floor(bid * 10) + 1) / 10), flow)) AS units FROM last JOIN book USING (product)),
+    b1 AS (SELECT *, CASE WHEN flow * 0.5 >= greatest(units, {BOOK.min_depth_units}) THEN ask WHEN flow * 0.5 + flow * 0.7 >= greatest(units, {BOOK.min_depth_units}) THEN ask + 0.2 END AS backed FROM b0),
+    b2 AS (SELECT *, exit_at * {1 - BOOK.tax} - buy_at AS net FROM (SELECT *, least((ceil(ask * 10) - 1) / 10, backed) AS exit_at FROM b1))"""
 
 
-@query("L11_buy_plans", f"WITH {_PLANS} SELECT product, CASE WHEN ask <= 0 OR bid <= 0 THEN 'one-sided book' WHEN samples < {BOOK.min_samples} THEN 'history too thin' WHEN stability < {BOOK.min_stability} THEN 'spread not persistent' WHEN units < 1 THEN 'cannot afford one unit' WHEN net <= 0 THEN 'no margin after tax' WHEN net / buy_at * 100 < {BOOK.min_margin_pct} THEN 'margin below floor' WHEN vol_pct > net / buy_at * 100 / 2 THEN 'too volatile' END AS reason, buy_at, units, exit_at, round(net, 6) AS net, round(net * units * {BOOK.fill_p} / {BOOK.fill_hours}, 4) AS score FROM b2")
+@query("L11_buy_plans", f"WITH {_PLANS} SELECT product, CASE WHEN ask <= 0 OR bid <= 0 THEN 'one-sided book' WHEN samples < {BOOK.min_samples} THEN 'history too thin' WHEN stability < {BOOK.min_stability} THEN 'spread not persistent' WHEN units < 1 THEN 'cannot afford one unit' WHEN backed IS NULL THEN 'sell side too thin' WHEN net <= 0 THEN 'no margin after tax' WHEN net / buy_at * 100 < {BOOK.min_margin_pct} THEN 'margin below floor' WHEN vol_pct > net / buy_at * 100 / 2 THEN 'too volatile' END AS reason, buy_at, units, exit_at, round(net, 6) AS net, round(net * units * {BOOK.fill_p} / {BOOK.fill_hours}, 4) AS score FROM b2")
 def l11(spark, d):
     own = views.snapshots(spark, d)
     last = own.groupBy("product").agg(F.max_by("ask", "ts").alias("ask"), F.max_by("bid", "ts").alias("bid"), F.count("*").cast("double").alias("flow"))
-    last = last.withColumn("levels", F.array().cast("array<struct<price:double,amount:double>>"))
+    level = lambda price, amount: F.struct(price.alias("price"), amount.alias("amount"))
+    last = last.withColumn("levels", F.array(level(F.col("ask"), F.col("flow") * 0.5), level(F.col("ask") + 0.2, F.col("flow") * 0.7)))
     return book.buy_plans(last, book.product_stats(own, BOOK), 1e5, BOOK).withColumn("net", F.round("net", 6)).withColumn("score", F.round("score", 4))
 
 
@@ -619,7 +627,7 @@ def x1(spark, d):
 def quantiles(bins: DataFrame, value: str, count: str, places: list[int], parts: int = 64) -> list[float]:
     """The values at places (from 0) of the ascending order of a histogram: value ranges are counted first, then only the
     ranges that hold a place are looked at, all in Spark but for the parts' counts."""
-    ranged = bins.repartitionByRange(parts, value).withColumn("part", F.spark_partition_id()).persist()
+    ranged = materialised(bins.repartitionByRange(parts, value).withColumn("part", F.spark_partition_id()), "ranges")
     ends = ranged.groupBy("part").agg(F.sum(count).alias("n")).orderBy("part").collect()  # at most `parts` rows
     out = []
     for place in places:
@@ -632,7 +640,6 @@ def quantiles(bins: DataFrame, value: str, count: str, places: list[int], parts:
 
         own = ranged.where(F.col("part") == r.part).withColumn("upto", F.sum(count).over(Window.orderBy(value)))
         out.append(own.where(F.col("upto") > place - before).agg(F.min(value)).first()[0])
-    ranged.unpersist()
     return out
 
 
@@ -667,5 +674,3 @@ def x7(spark, d):
 def x10(spark, d):
     return views.sales(spark, d).groupBy("item").agg(F.count("*").alias("n"), F.round(F.avg("price"), 4).alias("mean"))
 
-
-upper_median = o.upper_median

@@ -85,7 +85,11 @@ def keyed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live listings: the sales of returned items, at 45 percent of their price every seventh, with a sequence number."""
-    own = keyed_sales(spark, sf_dir).where(F.array_contains("features", "flag:R"))
+    return listings_of(keyed_sales(spark, sf_dir))
+
+
+def listings_of(keyed: DataFrame) -> DataFrame:
+    own = keyed.where(F.array_contains("features", "flag:R"))
     price = F.when(F.col("quantity") % 7 == 0, F.col("price") * 0.45).otherwise(F.col("price"))
     return own.select(F.col("sale_id").alias("uuid"), (F.col("order_id") * 8 + F.col("quantity")).alias("seq"), "item", "bk", "fk", "features", price.alias("price"), "seller")
 
