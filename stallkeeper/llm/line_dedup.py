@@ -41,6 +41,11 @@ def _bucket() -> Column:
     return F.pmod("leaf", F.lit(1 << FILTER_BITS)).cast("int")
 
 
+def _near(rows: DataFrame, keys: DataFrame, bucket: Column) -> DataFrame:
+    """Most of the rows whose key isn't among keys left out before a shuffle, by 2 ** FILTER_BITS integers at most."""
+    return rows.withColumn("bucket", bucket).join(F.broadcast(keys.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi").drop("bucket")
+
+
 def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
     return rows.select(key, "print").distinct().groupBy(key).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
@@ -48,8 +53,7 @@ def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
 def _templates(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
     """leaf, line, n (lines) and template of the lines in recurring leaves."""
     leaves = written(_recurring(lines, "leaf", min_docs).select("leaf"), "leaves")
-    near = F.broadcast(leaves.select(_bucket().alias("bucket")).distinct())  # at most 2 ** FILTER_BITS integers
-    texts = _lines(docs).select("leaf", "line", "tokens", "raw").withColumn("bucket", _bucket()).join(near, "bucket", "left_semi")
+    texts = _near(_lines(docs).select("leaf", "line", "tokens", "raw"), leaves, _bucket())
     counts = texts.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"), F.first(_masked(F.col("raw"))).alias("masked"))
     counts = written(counts.join(leaves, "leaf", "left_semi"), "lines")  # different lines, no copies
     behind = F.slice(F.split("masked", " "), F.lit(LEADING + 1), F.greatest(F.col("tokens") - LEADING, F.lit(0)))
@@ -133,7 +137,8 @@ def _sharing(docs: DataFrame) -> DataFrame:
     near each other. The same clauses recur in all texts that share a passage, so all of these are found."""
     anchors = written(_clauses(docs, ANCHOR).drop("size"), "anchors")
     hot = anchors.groupBy("leaf").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.count("*").alias("n")).where("low != high")
-    met = join_groups(anchors, written(hot.select("leaf", "n"), "met"), ["leaf"], how="inner")
+    hot = written(hot.select("leaf", "n"), "met")
+    met = join_groups(_near(anchors, hot, _bucket()), hot, ["leaf"], how="inner")
     order = Window.partitionBy("doc", "print").orderBy("at")
     met = met.withColumn("run", F.sum((F.col("at") - F.lag("at", 1, 0).over(order) > APART + 1).cast("int")).over(order.rangeBetween(Window.unboundedPreceding, 0)))
     return met.groupBy("doc", "print", "run").agg(F.sum("words").alias("words")).where(F.col("words") >= ANCHORED).select("doc", "print").distinct()
@@ -141,7 +146,8 @@ def _sharing(docs: DataFrame) -> DataFrame:
 
 def _copies(spans: DataFrame, clauses: DataFrame, min_docs: int) -> DataFrame:
     """print and other: pairs of texts of which the passages that no third text has make up half of either text or more."""
-    cells = spans.where((F.col("n_docs") < min_docs) & (F.col("print") != F.col("other"))).select("print", "other", "size", "other_size", "cell").distinct()
+    cells = spans.where((F.col("n_docs") < min_docs) & (F.col("print") != F.col("other")))
+    cells = cells.select("print", "other", "size", "other_size", F.explode(F.sequence("at", "to")).alias("cell")).distinct()
     long = clauses.select("print", F.col("at").alias("cell"), "words").distinct()
     both = cells.join(long, ["print", "cell"]).groupBy("print", "other").agg(F.sum("words").alias("shared"), F.max(F.greatest("size", "other_size")).alias("larger"))
     return both.where(F.col("shared") * 2 >= F.col("larger")).select("print", "other")
@@ -151,16 +157,22 @@ def dropped_clauses(docs: DataFrame, min_docs: int = PASSAGE_DOCS, words: int =
     """Of docs (doc, text): doc, print and drop (clause numbers from 0, a set) of those that lose clauses.
 
     A passage consists of clauses that each recur, so only runs of these are looked at. From each clause of a run forth
-    and back, the fewest that exceed words are a window; together the windows in a passage cover all of it."""
-    near = written(_sharing(docs), "sharing")
-    docs = written(docs.join(near, docs.doc.eqNullSafe(near.doc) & (F.xxhash64("text") == near.print), "left_semi"), "shared")
+    and back, the fewest that exceed words are a window; together the windows in a passage cover all of it.
+
+    Exact copies have the same windows, so only the copy with the smallest id is looked at. What it keeps as a window's
+    first place, the other copies lose."""
+    sharing = written(_sharing(docs), "sharing")
+    texts = written(sharing.groupBy("print").agg(F.min(F.struct("doc"))["doc"].alias("doc"), F.count("*").alias("n")), "texts")
+    bucket = lambda text_print: F.pmod(F.xxhash64("doc", text_print), F.lit(1 << FILTER_BITS)).cast("int")
+    near = F.broadcast(texts.select(bucket("print").alias("bucket")).distinct())  # at most 2 ** FILTER_BITS integers
+    rough = docs.withColumn("bucket", bucket(F.xxhash64("text"))).join(near, "bucket", "left_semi")
+    docs = written(rough.join(texts, rough.doc.eqNullSafe(texts.doc) & (F.xxhash64("text") == texts.print), "left_semi").drop("bucket"), "shared")
     clauses = _clauses(docs)
     hot = written(_recurring(clauses, "leaf", min_docs), "clauses")
-    near = F.broadcast(hot.select(_bucket().alias("bucket")).distinct())  # at most 2 ** FILTER_BITS integers
-    rough = written(clauses.withColumn("bucket", _bucket()).join(near, "bucket", "left_semi").drop("bucket"), "rough")
+    rough = written(_near(clauses, hot, _bucket()), "rough")
     found = join_groups(rough, hot, ["leaf"], "n_docs", "inner").drop("n_docs").distinct()
-    run = found.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("doc", "print").orderBy("at")))
-    one = Window.partitionBy("doc", "print", "run")
+    run = found.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("print").orderBy("at")))
+    one = Window.partitionBy("print", "run")
     run = run.withColumn("upto", F.sum("words").over(one.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("words"))
     run = written(run.withColumn("all", F.sum("words").over(one)).where(F.col("all") > words).drop("all"), "runs")
 
@@ -173,11 +185,15 @@ def dropped_clauses(docs: DataFrame, min_docs: int = PASSAGE_DOCS, words: int =
     first = units.groupBy("window").agg(F.min(F.struct("doc", "at", "print", "to", "size")).alias("first"), F.count("*").alias("n"))
     again = written(_recurring(units, "window", min_docs).join(first, "window"), "repeated")
     gone = join_groups(units, again, ["window"], how="inner")
-    own = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("print") == F.col("first.print")) & (F.col("at") <= F.col("first.to"))  # the first one, or over it
-    spans = written(gone.where(~own).select("doc", "print", "size", "n_docs", F.col("first.print").alias("other"), F.col("first.size").alias("other_size"), F.explode(F.sequence("at", "to")).alias("cell")), "spans")
+    own = (F.col("print") == F.col("first.print")) & (F.col("at") <= F.col("first.to"))  # the first one, or over it
+    spans = written(gone.select("print", "size", "n_docs", own.alias("own"), F.col("first.print").alias("other"), F.col("first.size").alias("other_size"), "at", "to"), "spans")
     copies = _copies(spans, run, MIN_DOCS).withColumn("copy", F.lit(True))
     spans = spans.join(copies, ["print", "other"], "left").where((F.col("n_docs") >= MIN_DOCS) | F.col("copy").isNull())
-    return spans.groupBy("doc", "print").agg(F.collect_set("cell").alias("drop"))
+    spans = spans.select("print", "own", F.explode(F.sequence("at", "to")).alias("cell"))
+    drops = spans.groupBy("print").agg(F.collect_set("cell").alias("of_copies"), F.collect_set(F.when(~F.col("own"), F.col("cell"))).alias("of_first"))
+    drops = written(texts.withColumnRenamed("doc", "least").join(drops, "print"), "drops")
+    drop = F.when(F.col("doc").eqNullSafe(F.col("least")), F.col("of_first")).otherwise(F.col("of_copies"))
+    return join_groups(sharing, drops, ["print"], how="inner").select("doc", "print", drop.alias("drop")).where(F.size("drop") > 0)
 
 
 def dedup_passages(docs: DataFrame, min_docs: int = PASSAGE_DOCS, words: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
