@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -314,6 +315,20 @@ def test_plan_is_best_fit_decreasing(histogram):
     assert len(used) == len(rooms)
 
 
+def test_token_ids_of_very_long_runs_are_those_of_the_library(spark):
+    own = packing.library(TOKENIZER)
+    texts = [" " * 2_000_000, "a " + "\n" * 1_200_000 + " b<|endoftext|>", "x" * 1_000_000, "a b " * 300_000]
+    for text in texts:
+        assert packing.token_ids(text, TOKENIZER, None).tolist() == own.encode(text, add_special_tokens=False).ids
+    found = packing.pack(spark.createDataFrame(list(enumerate([*texts, None])), DOCS), TOKENIZER).groupBy("doc_id").agg(F.sum("length").alias("n"))
+    assert {r.doc_id: r.n for r in found.collect()} == {k: len(own.encode(text or "", add_special_tokens=False).ids) + 1 for k, text in enumerate([*texts, None])}
+
+
+def test_a_tokenizer_of_another_kind_is_refused():
+    with pytest.raises(ValueError, match="no plain byte-level BPE"):
+        packing.encoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_token_ids_are_those_of_the_library():
     from tokenizers import Tokenizer
 
