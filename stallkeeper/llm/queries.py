@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.llm import chat_format, decontam, lang_id, line_dedup, near_dup, packing, sql, topk_search, toxicity, url_filter, warc
+from stallkeeper.llm import chat_format, decontam, lang_id, line_dedup, near_dup, packing, sql, topk_search, toxicity, url_filter, warc, whitening
 from stallkeeper.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, model)
+    found = whitening.whiten(vectors, model).select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.array(*(F.lit(float(e) / model.total) for e in model.variances)) if model and len(model.variances) else F.array().cast("array<double>")
+    return found.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"), "deviation", "whitened", F.get(shares, "at").alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,10 +106,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_url_filter, op2_minhash_near_dedup, op3_topk_search, op4_chat_format, op5_language_id, op6_toxicity, op7_warc_revisits, op8_line_dedup, passage_dedup, op9_best_fit_packing, op10_decontamination, pipeline)
+    own = (op1_url_filter, op2_minhash_near_dedup, op3_topk_search, op4_chat_format, op5_language_id, op6_toxicity, op7_warc_revisits, op8_line_dedup, passage_dedup, op9_best_fit_packing, op10_decontamination, op11_embedding_whitening, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Not of op5 and op6 (classifiers), op9 (a tokenizer) and the pipeline, which tests hold against brute force."""
+    """Not of op5 and op6 (classifiers), op9 (a tokenizer), op11 (eigenvectors) and the pipeline. Tests hold op9, op11 and
+    the stages near-dedup and decontamination against brute force, op5 and op6 against held-out rows."""
     return {"op1_url_filter": sql.op1(URL_RULES), "op2_minhash_near_dedup": sql.OP2, "op3_topk_search": sql.OP3, "op4_chat_format": sql.op4(PROBE), "op7_warc_revisits": sql.op7(), "op8_line_dedup": sql.op8(), "passage_dedup": sql.passages(), "op10_decontamination": sql.OP10}
