@@ -150,3 +150,29 @@ OP10 = rf"""
     met AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY 1)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN words USING (doc_id) LEFT JOIN met USING (doc_id)"""
+
+
+OP13 = rf"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    words AS MATERIALIZED (SELECT doc, lang, source, unnest(terms) AS term FROM docs),
+    kept AS MATERIALIZED (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+    found AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+    groups AS MATERIALIZED (
+        SELECT lang, source, coalesce((SELECT sum(c) FROM found f WHERE f.lang = g.lang AND f.source = g.source), 0)::HUGEINT AS n,
+            (SELECT count(*) FROM kept k WHERE k.lang = g.lang)::HUGEINT AS v
+        FROM (SELECT DISTINCT lang, source FROM docs) g),
+    shares AS MATERIALIZED (
+        SELECT lang, source, term, coalesce(c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c, 0) + 1) // (n + v) AS p
+        FROM groups JOIN kept USING (lang) LEFT JOIN found USING (lang, source, term)),
+    whole AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(c) + 1)::HUGEINT // ((SELECT sum(n) FROM groups g WHERE g.lang = s.lang)::HUGEINT + (SELECT count(*) FROM kept k WHERE k.lang = s.lang)::HUGEINT) AS q FROM shares s GROUP BY lang, term),
+    pairs AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::BIGINT AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+        GROUP BY a.lang, a.source, b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM shares JOIN whole USING (lang, term) WHERE c > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
