@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.llm import chat_format, decontam, divergence, lang_id, line_dedup, near_dup, packing, sql, topk_search, toxicity, url_filter, warc, whitening
+from stallkeeper.llm import chat_format, decontam, disclosure, divergence, lang_id, line_dedup, near_dup, packing, sql, topk_search, toxicity, url_filter, warc, whitening
 from stallkeeper.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,16 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"), "deviation", "whitened", F.get(shares, "at").alias("explained"), F.lit(error).cast("double").alias("identity_error"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.report(read(spark, sf_dir, "documents"))
+    kinds = F.array(*map(F.lit, disclosure.KINDS))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] < disclosure.GENERAL)
+    of = lambda kind: lambda s: s["kind"] == kind
+    counts = [F.size(F.filter("spans", of(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(disclosure.KINDS[: disclosure.GENERAL])]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
@@ -110,11 +120,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_url_filter, op2_minhash_near_dedup, op3_topk_search, op4_chat_format, op5_language_id, op6_toxicity, op7_warc_revisits, op8_line_dedup, passage_dedup, op9_best_fit_packing, op10_decontamination, op11_embedding_whitening, op13_source_divergence, pipeline)
+    own = (op1_url_filter, op2_minhash_near_dedup, op3_topk_search, op4_chat_format, op5_language_id, op6_toxicity, op7_warc_revisits, op8_line_dedup, passage_dedup, op9_best_fit_packing, op10_decontamination, op11_embedding_whitening, op12_personal_data, op13_source_divergence, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Not of op5 and op6 (classifiers), op9 (a tokenizer), op11 (eigenvectors) and the pipeline. Tests hold op9, op11 and
     the stages near-dedup and decontamination against brute force, op5 and op6 against held-out rows."""
-    return {"op1_url_filter": sql.op1(URL_RULES), "op2_minhash_near_dedup": sql.OP2, "op3_topk_search": sql.OP3, "op4_chat_format": sql.op4(PROBE), "op7_warc_revisits": sql.op7(), "op8_line_dedup": sql.op8(), "passage_dedup": sql.passages(), "op10_decontamination": sql.OP10, "op13_source_divergence": sql.OP13}
+    return {"op1_url_filter": sql.op1(URL_RULES), "op2_minhash_near_dedup": sql.OP2, "op3_topk_search": sql.OP3, "op4_chat_format": sql.op4(PROBE), "op7_warc_revisits": sql.op7(), "op8_line_dedup": sql.op8(), "passage_dedup": sql.passages(), "op10_decontamination": sql.OP10, "op12_personal_data": sql.op12(), "op13_source_divergence": sql.OP13}

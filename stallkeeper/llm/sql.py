@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stallkeeper.llm import line_dedup, url_filter
+from stallkeeper.llm import disclosure, line_dedup, url_filter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -176,3 +176,48 @@ OP13 = rf"""
     ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
     SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+
+def op12() -> str:
+    space, term, reach = r"\x20\x09-\x0D", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", disclosure.REACH
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    matches = " UNION ALL ".join(f"SELECT print, {k} AS kind, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM texts" for k, p in enumerate(patterns))
+    low = f"translate({{}}, '{UPPER}', '{LOWER}')"
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN substr(reverse({digits}), j, 1)::INT ELSE (substr(reverse({digits}), j, 1)::INT * 2) // 10 + (substr(reverse({digits}), j, 1)::INT * 2) % 10 END)) % 10 = 0"
+    general = lambda t: f"CASE WHEN length({t}) > {disclosure.LEADING} THEN left({t}, {disclosure.LEADING}) || '*' END"
+    names = ", ".join(f"'{k}'" for k in disclosure.KINDS)
+    listed = lambda x: f"coalesce(string_agg([{names}][kind + 1] || ':' || start || ':' || past, ',' ORDER BY kind, start, past){x}, '')"
+    counts = ", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(disclosure.KINDS[: disclosure.GENERAL]))
+    return rf"""
+    WITH texts AS MATERIALIZED (SELECT DISTINCT md5(coalesce(text, '')) AS print, coalesce(text, '') AS text FROM documents),
+    marks AS (SELECT print, kind, unnest(m) AS m, unnest(g[:len(m)]) AS g, unnest(g[2:]) AS h, unnest(range(len(m))) AS i FROM ({matches})),
+    placed AS (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY print, kind ORDER BY i))::BIGINT AS past FROM marks),
+    spans AS MATERIALIZED (
+        SELECT print, kind, past - length(m) AS start, past, CASE kind WHEN 0 THEN {low.format("m")} WHEN 1 THEN m ELSE {digits} END AS entity,
+            CASE WHEN length(g) <= {reach} THEN g ELSE regexp_replace(right(g, {reach}), '^[^{space}]+', '') END AS ahead,
+            CASE WHEN length(h) <= {reach} THEN h ELSE regexp_replace(left(h, {reach}), '[^{space}]+\z', '') END AS behind
+        FROM placed WHERE CASE kind WHEN 0 THEN true WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda x: x::HUGEINT > 255)) = 0
+            WHEN 2 THEN length({digits}) BETWEEN 13 AND 19 AND {luhn} ELSE length({digits}) BETWEEN 9 AND 15 END),
+    sides AS (SELECT row_number() OVER () AS side, print, kind, entity, place, regexp_extract_all(text, '[^{space}]*@[^{space}]*|{term}') AS t, string_split_regex(text, '[^{space}]*@[^{space}]*|{term}') AS g FROM (
+        SELECT print, kind, entity, start - length(ahead) AS place, ahead AS text FROM spans UNION ALL SELECT print, kind, entity, past, behind FROM spans)),
+    tokens AS (SELECT side, print, kind, entity, place, unnest(t) AS token, unnest(g[:len(t)]) AS g, unnest(range(len(t))) AS i FROM sides),
+    near AS MATERIALIZED (
+        SELECT print, kind, entity, {low.format("token")} AS term, past - length(token) AS start, past FROM (
+            SELECT *, place + (sum(length(g) + length(token)) OVER (PARTITION BY side ORDER BY i))::BIGINT AS past FROM tokens) WHERE NOT contains(token, '@')),
+    pairs AS MATERIALIZED (
+        SELECT kind, entity, term, count(DISTINCT print) AS n_near FROM (
+            SELECT print, kind, entity, term FROM near UNION ALL SELECT print, kind, entity, {general("term")} FROM near) WHERE term IS NOT NULL GROUP BY ALL HAVING n_near >= {disclosure.SUPPORT}),
+    words AS (SELECT DISTINCT print, unnest(list_distinct(regexp_extract_all({low.format("text")}, '{term}'))) AS term FROM texts),
+    known AS (SELECT term, count(DISTINCT print) AS n_term FROM (SELECT print, term FROM words UNION ALL SELECT print, {general("term")} FROM words) GROUP BY term),
+    risky AS MATERIALIZED (
+        SELECT kind, entity, term FROM (SELECT kind, entity, term, n_near / n_term AS told, n_entity FROM pairs JOIN known USING (term)
+            JOIN (SELECT kind, entity, count(DISTINCT print) AS n_entity FROM spans GROUP BY ALL) USING (kind, entity)) WHERE told * told * told * told * (SELECT count(*) FROM texts) >= n_entity),
+    actions AS (SELECT r.kind, r.entity, r.term, CASE WHEN g.term IS NOT NULL OR length(r.term) <= {disclosure.LEADING} THEN {disclosure.REMOVED} ELSE {disclosure.GENERAL} END AS act
+        FROM risky r LEFT JOIN risky g ON g.kind = r.kind AND g.entity = r.entity AND g.term = {general("r.term")} WHERE r.term NOT LIKE '%*'),
+    added AS (SELECT print, max(act) AS kind, start, past FROM near JOIN actions USING (kind, entity, term) GROUP BY print, start, past),
+    listed AS (SELECT print, {counts}, sha256({listed(f" FILTER (kind < {disclosure.GENERAL})")}) AS base_sha256, {listed("")} AS spans
+        FROM (SELECT print, kind, start, past FROM spans UNION ALL SELECT print, kind, start, past FROM added) GROUP BY print)
+    SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name in disclosure.KINDS[: disclosure.GENERAL])}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM documents LEFT JOIN listed ON print = md5(coalesce(text, ''))
+    """
