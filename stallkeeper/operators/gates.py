@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallkeeper.functions.counts import counts_below
+from stallkeeper.functions.counts import counts_within
 from stallkeeper.operators.filters import first_reason
 
 
@@ -36,19 +36,23 @@ def ineligible(min_free: float, most_auctions: float, spend: float, purse_share:
     )
 
 
-def client_reasons(flips: DataFrame, clients: DataFrame, min_free: float, most_auctions: float, spend: float, purse_share: float, big_purse: float, full_profit: float, full_used: float) -> DataFrame:
-    """client, reason (passed, or as of ineligible()) and n: how many of flips (price, profit; the one rises with the other)
-    each client can't or can take. A client's thresholds are looked up in the flips' order; no pairs are made."""
-    share = F.when(F.col("purse") > big_purse, F.col("purse") * purse_share).otherwise(0.0)
-    full = (F.lit(full_profit) > F.col("share")) & F.coalesce(F.col("at_limit") & (F.col("used") >= full_used), F.lit(False))
-    own = clients.withColumn("share", share).withColumn("full", full)
-    own = own.withColumn("floor", F.when(F.col("full"), full_profit).otherwise(F.col("share"))).withColumn("most", F.when(F.col("purse") > 0, F.col("purse") * spend).otherwise(float("inf")))
-    whole = F.when(F.col("free") < min_free, "slots").when(F.col("auctions") >= most_auctions, "auctions")
-    own = counts_below(flips, own.withColumn("whole", whole), [], "price", "most", inclusive=True).withColumnRenamed("below", "affordable").drop("of")
-    own = counts_below(flips, own, [], "profit", "floor")
-    cheap = F.least("below", "affordable")  # both count the cheapest flips
+def client_reasons(flips: DataFrame, clients: DataFrame, min_free: float, most_auctions: float, spend: float, purse_share: float, big_purse: float, full_profit: float, full_used: float, full_free: float = 0) -> DataFrame:
+    """client, reason (passed, or as of ineligible()) and n: how many of flips (price, profit) each client (told by client)
+    can't or can take. Prices and profits needn't go together: a client's affordable flips below its floor are counted by
+    both at once. No pairs are made; clients with the same thresholds are asked once."""
+    share = F.when(F.lit(purse_share > 0) & (F.col("purse") > big_purse), F.col("purse") * purse_share).otherwise(0.0)
+    held = F.coalesce(F.when(F.col("used").isNotNull(), F.col("at_limit") & (F.col("used") >= full_used)), F.col("free") <= full_free, F.lit(False))
+    own = clients.withColumn("share", share).withColumn("full", (F.lit(full_profit) > F.col("share")) & F.lit(full_profit > 0) & held)
+    limited = F.lit(spend > 0) & (F.col("purse") > 0)
+    own = own.withColumn("floor", F.when(F.col("full"), full_profit).otherwise(F.col("share"))).withColumn("most", F.when(limited, F.col("purse") * spend).otherwise(float("inf")))
+    own = own.withColumn("floor", F.when(F.col("floor") > 0, F.col("floor")).otherwise(-float("inf")))
+    whole = F.when(F.lit(min_free > 0) & (F.col("free") < min_free), "slots").when(F.lit(most_auctions > 0) & (F.col("auctions") >= most_auctions), "auctions")
+    own = own.select("client", whole.alias("whole"), "full", "most", "floor")
+    asked = own.select("most", "floor").distinct().withColumn("id", F.concat_ws("/", "most", "floor"))
+    found = counts_within(flips, asked, "price", "most", "profit", "floor", "id").select("most", "floor", "upto", "within", "of")
+    own = own.join(found, ["most", "floor"])
     n = lambda name, x: F.struct(F.lit(name).alias("reason"), x.cast("long").alias("n"))
-    gated = F.array(n("purse", F.col("of") - F.col("affordable")), n("full", F.when(F.col("full"), cheap).otherwise(0)), n("floor", F.when(F.col("full"), 0).otherwise(cheap)), n("passed", F.col("affordable") - cheap))
+    gated = F.array(n("purse", F.col("of") - F.col("upto")), n("full", F.when(F.col("full"), F.col("within")).otherwise(0)), n("floor", F.when(F.col("full"), 0).otherwise(F.col("within"))), n("passed", F.col("upto") - F.col("within")))
     per = own.select("client", F.explode(F.when(F.col("whole").isNotNull(), F.array(F.struct(F.col("whole").alias("reason"), F.col("of").alias("n")))).otherwise(gated)).alias("r"))
     return per.select("client", "r.*").where("n > 0")
 

@@ -90,11 +90,14 @@ def f3(spark, d):
     return gates.route(own, own.where("order_id % 2 = 0")).select("uuid", "route")
 
 
-@query("F6_client_gates", f"{_FLIPS}, c AS (SELECT c_custkey AS client, c_custkey % 9 AS free, c_custkey % 16 AS auctions, (c_acctbal + 1000) * 40 AS purse, c_custkey % 2 = 0 AS at_limit, c_custkey % 30 AS used FROM customer), j AS (SELECT *, CASE WHEN 8000 > s AND at_limit AND used >= 20 THEN true ELSE false END AS packed FROM (SELECT *, CASE WHEN purse > 200000 THEN purse * 0.02 ELSE 0 END AS s FROM flips, c)) SELECT client, coalesce(CASE WHEN free < 2 THEN 'slots' WHEN auctions >= 14 THEN 'auctions' WHEN purse > 0 AND profit / 0.3 > purse * 0.5 THEN 'purse' WHEN packed AND profit < 8000 THEN 'full' WHEN s > 0 AND NOT packed AND profit < s THEN 'floor' END, 'passed') AS reason, count(*) AS n FROM j GROUP BY 1, 2")
+_PRICED = f"WITH {SALES}, priced AS (SELECT price, price * (order_id % 7) / 20 AS profit FROM sales)"
+
+
+@query("F6_client_gates", f"{_PRICED}, c AS (SELECT c_custkey AS client, c_custkey % 9 AS free, c_custkey % 16 AS auctions, (c_acctbal + 1000) * 40 AS purse, c_custkey % 2 = 0 AS at_limit, c_custkey % 30 AS used FROM customer), j AS (SELECT *, CASE WHEN 8000 > s AND at_limit AND used >= 20 THEN true ELSE false END AS packed FROM (SELECT *, CASE WHEN purse > 200000 THEN purse * 0.02 ELSE 0 END AS s FROM priced, c)) SELECT client, coalesce(CASE WHEN free < 2 THEN 'slots' WHEN auctions >= 14 THEN 'auctions' WHEN purse > 0 AND price > purse * 0.5 THEN 'purse' WHEN packed AND profit < 8000 THEN 'full' WHEN s > 0 AND NOT packed AND profit < s THEN 'floor' END, 'passed') AS reason, count(*) AS n FROM j GROUP BY 1, 2")
 def f6(spark, d):
     key = F.col("c_custkey")
     clients = table(spark, d, "customer").select(key.alias("client"), (key % 9).alias("free"), (key % 16).alias("auctions"), ((F.col("c_acctbal") + 1000) * 40).alias("purse"), (key % 2 == 0).alias("at_limit"), (key % 30).alias("used"))
-    flips = _flips(spark, d).select("profit", (F.col("profit") / 0.3).alias("price"))
+    flips = views.sales(spark, d).select("price", (F.col("price") * F.pmod(F.col("order_id"), F.lit(7)) / 20).alias("profit"))  # dear ones needn't gain more
     return gates.client_reasons(flips, clients, 2, 14, 0.5, 0.02, 200000, 8000, 20)
 
 

@@ -1,5 +1,7 @@
 """Gates and messages by hand."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from stallkeeper.operators import gates, ledger
@@ -21,6 +23,17 @@ def test_client_floor_of_a_big_purse_and_a_full_inventory(spark):
     assert found == {1: "floor", 2: "slots", 3: "full", 4: None, 5: "purse", 6: None, 7: "full"}
 
 
+def test_counts_of_clients_are_those_of_each_flip(spark):
+    """Flips whose profit has nothing to do with their price, clients of every kind, against one decision after the other."""
+    r = random.Random(6)
+    flips = [(float(r.randrange(1, 300)), float(r.randrange(12000))) for _ in range(250)] + [(10.0, 9000.0), (100.0, 1.0)]
+    clients = [(i, r.choice([0, 1, 2, 5]), r.randrange(18), float(r.choice([0, 120, 400, 5000, 250_000, 900_000])), r.choice([True, False, None]), r.choice([None, 0, 19, 25])) for i in range(60)]
+    f, c = spark.createDataFrame(flips, "price double, profit double"), spark.createDataFrame(clients, "client int, free int, auctions int, purse double, at_limit boolean, used int")
+    for limits in ((2, 14, 0.5, 0.02, 200_000, 8000, 20, 3), (0, 0, 0, 0, 0, 0, 0, 0), (0, 14, 1.0, 0.001, 0, 8000, 20, 1)):
+        each = c.crossJoin(f).select("client", F.coalesce(gates.ineligible(*limits), F.lit("passed")).alias("reason")).groupBy("client", "reason").count()
+        assert {tuple(x) for x in gates.client_reasons(f, c, *limits).collect()} == {tuple(x) for x in each.collect()}
+
+
 def test_routes_of_empty_and_repeated_rows(spark):
     schema = "uuid string, bin boolean, price double, item_bytes string"
     empty = spark.createDataFrame([], schema)
