@@ -9,6 +9,7 @@ from stallkeeper.config import Pricing
 from stallkeeper.functions import orderstats as o
 from stallkeeper.functions import valuation as v
 from stallkeeper.functions.counts import counts_below
+from stallkeeper.operators import dominance
 
 
 def fresh(sales: DataFrame, now: float, c: Pricing) -> DataFrame:
@@ -110,15 +111,8 @@ def base_volume(sales: DataFrame, c: Pricing) -> DataFrame:
 
 
 def dominance_floor(listings: DataFrame, sales: DataFrame, c: Pricing) -> DataFrame:
-    """Per listing (uuid, bk, features): the floor over sales of its bk, among the newest dominance_rows, whose features
-    the listing's contain: what it should fetch at least. Computed once for each different (bk, features)."""
-    refs = o.newest(sales, ["bk"], ["sold_at", "sale_id"], c.dominance_rows).select("bk", "price", "sold_at", "seller", "sale_id", F.col("features").alias("theirs"))
-    own = listings.select("uuid", "bk", F.array_sort("features").alias("ours"))
-    keys = ["bk", "ours"]
-    pool = own.select(*keys).distinct().join(refs, "bk").where(o.multiset_contains(F.col("ours"), F.col("theirs")))
-    floor = o.seller_floor(pool, keys, ["sale_id"]).groupBy(*keys).agg(F.median("price").alias("target"), F.count("*").alias("samples"), (F.count("*") / o.span_days("sold_at", c.max_age_days)).alias("volume_per_day"))
-    share = pool.groupBy(*keys, "seller").agg(F.count("*").alias("c")).groupBy(*keys).agg((F.max(F.when(F.coalesce("seller", F.lit("")) != "", F.col("c")).otherwise(0)) / F.sum("c") >= c.manipulated_share).alias("manipulated"))
-    return own.join(floor.where(F.col("samples") >= c.min_refs).join(share, keys), keys).select("uuid", "target", "samples", "volume_per_day", "manipulated")
+    """dominance.floors() of listings (uuid, bk, features) over sales by their tokens."""
+    return dominance.floors(listings.withColumn("axes", dominance.token_axes(F.col("features"))), sales.withColumn("axes", dominance.token_axes(F.col("features"))), c)
 
 
 def key_ladder(items: DataFrame, stats: DataFrame, c: Pricing) -> DataFrame:
