@@ -27,7 +27,7 @@ BLOCK_BYTES = 32 << 20
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-RESULT = "hits array<struct<start:int,stop:int>>, items array<long>, n_words long"
+RESULT = "hits array<struct<start:int,stop:int>>, items array<{kind}>, n_words long"
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
@@ -65,7 +65,7 @@ def _blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[dict
     yield block
 
 
-def _scan(patterns: dict[bytes, tuple[int, list[int]]], names: list[str]):
+def _scan(patterns: dict[bytes, tuple[int, list]], names: list[str], kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(patterns) if patterns else None
         for batch in batches:
@@ -94,7 +94,7 @@ def _scan(patterns: dict[bytes, tuple[int, list[int]]], names: list[str]):
                 counts.append(len(found))
             kept = [c for c in names if c not in ("hits", "items", "n_words")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(items, pa.list_(pa.int64())), pa.array(counts, pa.int64())], [*kept, "hits", "items", "n_words"]
+                [*(batch.column(c) for c in kept), pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(items, pa.list_(kind)), pa.array(counts, pa.int64())], [*kept, "hits", "items", "n_words"]
             )
 
     return run
@@ -116,12 +116,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
     (the same in characters of the original text), items (sorted ids of items with windows that occur).
 
     Null and empty texts have no words and no hits. Benchmark rows without text, words or id are left out; items that
-    share a window all count. Repeated rows are judged each by itself. Other columns are ignored."""
+    share a window all count; items have text or whole numbers as ids. Repeated rows are judged each by itself. Other columns are ignored."""
     rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    benchmark = benchmark.select(F.col(item_col).cast("string" if benchmark.schema[item_col].dataType.simpleString() == "string" else "long").alias(item_col), text_col)
+    item = benchmark.schema[item_col].dataType.simpleString()
+    result = RESULT.format(kind=item)
     for patterns in _blocks(benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(item_col, text_col), width, block_bytes):
-        rows = rows.mapInArrow(_scan(patterns, rows.columns), f"id {kind}, text string, {RESULT}")
-    return rows.mapInArrow(_spans, f"id {kind}, spans array<struct<start:int,stop:int>>, {RESULT}").select(F.col("id").alias(id_col), "n_words", "hits", "spans", "items")
+        rows = rows.mapInArrow(_scan(patterns, rows.columns, pa.string() if item == "string" else pa.int64()), f"id {kind}, text string, {result}")
+    return rows.mapInArrow(_spans, f"id {kind}, spans array<struct<start:int,stop:int>>, {result}").select(F.col("id").alias(id_col), "n_words", "hits", "spans", "items")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -131,11 +134,11 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without documents in which any benchmark window occurs. Rows without an id stay
     only if their text has no hit."""
     rows = small_batches(docs)
-    for patterns in _blocks(benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text"), width, BLOCK_BYTES):
+    for patterns in _blocks(benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(item_col, text_col), width, BLOCK_BYTES):
         rows = rows.where(_clean(patterns)(F.col(text_col))) if patterns else rows
     return rows
 

@@ -138,6 +138,13 @@ def test_chats_come_back_and_controls_are_escaped(spark):
 # Language ID
 
 
+def test_one_huge_conversation_and_one_huge_turn(spark):
+    turns = [(1, k, ("user", "assistant")[k % 2], f"t{k}<|im_end|>") for k in range(20_000)] + [(2, 0, "user", "é" * 2_000_000), (2, 1, "assistant", None)]
+    made = chat_format.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    back = {r.conv_id: r.turns for r in made.select("conv_id", chat_format.read_back(F.col("formatted")).alias("turns")).collect()}
+    assert [(t.role, t.text) for t in back[1]] == [x[2:] for x in turns[:-2]] and [len(t.text) for t in back[2]] == [2_000_000, 0]
+
+
 def test_languages_on_held_out_texts_mixed_spans_and_scripts(spark):
     r = random.Random(2)
     sylls = {"aa": ["ka", "to", "ri", "mu"], "bb": ["sch", "ung", "ber", "ein"], "ru": ["ка", "то", "ри", "му"]}
@@ -372,4 +379,6 @@ def test_decontamination_is_brute_force_in_any_number_of_blocks(spark):
             assert [len(decontam.words_of(texts[x.doc_id][s.start : s.stop])) for s in x.spans] == [h.stop - h.start for h in x.hits]
     clean = sorted(x.doc_id for x in decontam.drop_contaminated(df, bench, width=4).collect())
     assert clean == sorted(i for i, _, hit, _ in expected if not hit)
+    named = decontam.contamination(df, bench.withColumn("item_id", F.concat(F.lit("q"), F.col("item_id"))), width=4).collect()
+    assert sorted((x.doc_id, sorted(x["items"])) for x in named) == sorted((i, sorted(f"q{k}" for k in met)) for i, _, _, met in expected)
     assert decontam.contamination(df.limit(0), bench).count() == 0 and decontam.contamination(df, bench.limit(0)).where("size(hits) > 0").count() == 0

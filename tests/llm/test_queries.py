@@ -67,3 +67,24 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DIR).count() > 0
+
+
+def test_stages_on_nulls_repeats_long_texts_and_nothing(spark, tmp_path):
+    """Rows that no stage may fail on or lose: null ids and texts, repeated rows, long runs, an extra column."""
+    own = spark.read.parquet(f"{DIR}/documents.parquet").withColumn("label", F.lit(1)).withColumn("kept", F.lit(True))
+    odd = [(None, None), (None, ""), (9001, None), (9001, None), (9002, " " * 1_100_000), (9003, "lone"), (9004, "1" * 300_000)]
+    rows = own.unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True).unionByName(own.limit(5))
+    for docs in (rows, rows.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, DIR)
+            out.write.parquet(path := str(tmp_path / f"{name}-{docs.count()}"))
+            before, after = docs, spark.read.parquet(path)
+            if name == "packing":
+                assert after.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+                continue
+            assert after.columns == before.columns, name
+            known = {(r.doc_id, len(r.text or "")) for r in after.collect()}
+            if before.count():
+                kept = {(9003, 4)} | ({(9001, 0), (None, 0)} if name != "near-dedup" else {(9001, 0)})
+                assert kept <= known, name
+            docs = after
