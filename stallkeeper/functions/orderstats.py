@@ -21,14 +21,27 @@ def upper_median(values: Column) -> Column:
     return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
-def at_share(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], order: list[str] | None = None) -> DataFrame:
-    """Per key the count n and, for each share p, the element at floor(p * n) (the last one at most). Ranks rows by a
-    window instead of gathering them, so groups may be of any size."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value, *(order or [])))
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    ranked = df.select(*keys, value, rank.alias("__r")).join(counts, keys)
-    picks = [F.max(F.when(F.col("__r") == F.least(F.floor(F.col("n") * p) + 1, F.col("n")), F.col(value))).alias(name) for name, p in shares.items()]
-    return ranked.groupBy(*keys, "n").agg(*picks)
+def _cumulated(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, __upto (rows up to it), n: equal values are counted first, so a window holds different values only and
+    spills, where an aggregate would hold all of a group."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    own = Window.partitionBy(*keys)
+    upto = F.sum("__c").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.select(*keys, value, upto.alias("__upto"), F.sum("__c").over(own).alias("n"))
+
+
+def at_share(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Per key the count n and, for each share p, the element at floor(p * n) (the last one at most)."""
+    least = lambda p: F.least(F.floor(F.col("n") * p) + 1, F.col("n"))
+    picks = [F.min(F.when(F.col("__upto") >= least(p), F.col(value))).alias(name) for name, p in shares.items()]
+    return _cumulated(df, keys, value).groupBy(*keys, "n").agg(*picks)
+
+
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per key the count n and the median: the middle element, or the mean of the two middle ones."""
+    at = lambda place: F.min(F.when(F.col("__upto") >= place, F.col(value)))
+    middle = (at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2
+    return _cumulated(df.where(F.col(value).isNotNull()), keys, value).groupBy(*keys, "n").agg(middle.alias("median"))
 
 
 def newest(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

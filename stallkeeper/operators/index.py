@@ -18,12 +18,12 @@ def fresh(sales: DataFrame, now: float, c: Pricing) -> DataFrame:
 
 def base_stats(sales: DataFrame) -> DataFrame:
     """bk, n, base_value and base_high: the elements at floor(0.20 n) and floor(0.95 n)."""
-    return o.at_share(sales, ["bk"], "price", {"base_value": 0.20, "base_high": 0.95}, ["sale_id"])
+    return o.at_share(sales, ["bk"], "price", {"base_value": 0.20, "base_high": 0.95})
 
 
 def feature_groups(sales: DataFrame) -> DataFrame:
     """bk, feature, n and median over the sales that have the feature."""
-    return sales.select("bk", "price", F.explode("features").alias("feature")).groupBy("bk", "feature").agg(F.count("*").alias("n"), F.median("price").alias("median"))
+    return o.medians(sales.select("bk", "price", F.explode("features").alias("feature")), ["bk", "feature"], "price").select("bk", "feature", "n", "median")
 
 
 def significant(groups: DataFrame, base: DataFrame, c: Pricing) -> DataFrame:
@@ -71,7 +71,7 @@ def key_stats(sales: DataFrame, now: float, c: Pricing, key: str = "fk") -> Data
 
 
 def cheap_median(sales: DataFrame, key: str = "fk", least: int = 3) -> DataFrame:
-    return sales.groupBy(key).agg(F.median("price").alias("median"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return o.medians(sales, [key], "price").select(key, "median", "n").where(F.col("n") >= least)
 
 
 def fair_time_to_sell(sales: DataFrame, key: str = "fk") -> DataFrame:
@@ -158,7 +158,7 @@ def rank_of(cols: list[str], order: list[Column]) -> Column:
 def star_significance(sales: DataFrame, c: Pricing, bare: Column) -> DataFrame:
     """Stars (bare key, stars) whose sales' median lies far enough above the base value of the bare key."""
     own = sales.withColumn("bare", bare)
-    base = o.at_share(own, ["bare"], "price", {"base_value": 0.20}, ["sale_id"]).select("bare", "base_value")
+    base = o.at_share(own, ["bare"], "price", {"base_value": 0.20}).select("bare", "base_value")
     groups = own.where("stars > 0").groupBy("bare", "stars").agg(F.count("*").alias("n"), F.median("price").alias("median"))
     return groups.join(base, "bare").where((F.col("n") >= c.min_samples) & (F.col("median") - F.col("base_value") >= c.min_share * F.col("base_value")))
 

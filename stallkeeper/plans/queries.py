@@ -246,7 +246,8 @@ _DOMINANCE = f"""refs AS (SELECT bk, price, sold_at, seller, sale_id, features A
 
 @query("A17_dominance_floor", f"WITH {LISTINGS}, {_DOMINANCE} SELECT uuid, target, samples, round(volume_per_day, 6) AS volume_per_day, manipulated FROM dom JOIN domshare USING (uuid)")
 def a17(spark, d):
-    return rounded(index.dominance_floor(views.listings(spark, d), views.keyed_sales(spark, d), RARE), "volume_per_day")
+    keyed = materialised(views.keyed_sales(spark, d), "keyed")
+    return rounded(index.dominance_floor(views.listings_of(keyed), keyed, RARE), "volume_per_day")
 
 
 _KM = f"""obs AS (SELECT item, tts_ms / 3600000 AS t, 1 AS d FROM sales WHERE tts_ms IS NOT NULL UNION ALL SELECT item, 24.0 * (1 + quantity % 14) AS t, 0 FROM sales WHERE tts_ms IS NULL AND quantity > 25),

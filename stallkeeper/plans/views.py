@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stallkeeper.config import Pricing
 from stallkeeper.functions import keys as k
+from stallkeeper.sources.tables import materialised
 
 #: The tables' sales span years and their prices lie far apart.
 CONFIG = Pricing(max_age_days=3650, min_share=1.43, short_hours=24 * 365, ref_cap=40)
@@ -77,9 +78,10 @@ STATS = f"""{KEYED},
 
 
 def keyed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales with fk. They are written once, since base values, feature groups and keys each read them."""
     from stallkeeper.operators import index
 
-    own = sales(spark, sf_dir)
+    own = materialised(sales(spark, sf_dir), "sales")
     return index.with_final_key(own, index.significant(index.feature_groups(own), index.base_stats(own), CONFIG))
 
 
