@@ -10,9 +10,15 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+# Tax by what an item sells for, and the least share of it that is left.
+TAX = [(100e6, 0.025), (10e6, 0.02)]
+LOW_TAX = 0.01
+LEFT = 0.05
+
+
 def after_tax(reference: Column, attempts: float = 1.0, sale_tax: float = 0.0) -> Column:
-    rate = F.when(reference >= 100e6, 0.025).when(reference >= 10e6, 0.02).otherwise(0.01)
-    return F.greatest(reference * (1 - rate * max(attempts, 1.0) - max(sale_tax, 0.0)), reference * 0.05)
+    rate = F.coalesce(*(F.when(reference >= least, share) for least, share in TAX), F.lit(LOW_TAX))
+    return F.greatest(reference * (1 - rate * max(attempts, 1.0) - max(sale_tax, 0.0)), reference * LEFT)
 
 
 def liquidity_factor(sell_through: Column, pivot: float = 0.7, k: float = 0.3, floor: float = 0.85) -> Column:
@@ -55,8 +61,10 @@ def craft_ceiling(parts: list[Column], stars: Column, mult: float = 1.1) -> Colu
 
 
 def big_ticket(buy: Column, resale: Column, samples: Column, per_day: Column, profit_bar: float, margin: float, min_samples: int = 10, min_volume: float = 1.0) -> Column:
-    profit = after_tax(resale) - buy
-    return F.lit(profit_bar > 0) & (profit >= profit_bar) & (profit >= buy * margin) & (samples >= min_samples) & (per_day >= min_volume)
+    """Whether a dear listing may pass on its profit alone: enough of it after tax, sold often enough, and at least margin
+    of the resale price lies between the prices, before tax. A bar of 0 is off."""
+    sane = F.lit(profit_bar > 0) & (resale > 0) & (buy > 0)
+    return sane & (samples >= min_samples) & (per_day >= min_volume) & ((resale - buy) / resale >= margin) & (after_tax(resale) - buy >= profit_bar)
 
 
 def open_price(target: Column, lbin: Column, learned: Column) -> Column:

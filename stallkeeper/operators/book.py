@@ -57,3 +57,13 @@ def extremes(df: DataFrame, value: str, tie: str, n: int) -> DataFrame:
     best = df.orderBy(F.desc(value), tie).limit(n).withColumn("end", F.lit("best"))
     return best.unionByName(df.orderBy(F.asc(value), tie).limit(n).withColumn("end", F.lit("worst")))
 
+
+def moved(snapshots: DataFrame, window_s: float) -> DataFrame:
+    """snapshots (product, ts, ask, bid) with moved_pct: by how many percent a side has moved from its own median in the
+    window before, the larger of both; 0 where there is none. A window's snapshots are few, since a book has one per tick."""
+    before = Window.partitionBy("product").orderBy((F.col("ts") * 1_000_000).cast("long")).rangeBetween(-int(window_s * 1_000_000), -1)
+    off = lambda side: F.when(F.col(f"{side}_median") > 0, F.abs(F.col(side) - F.col(f"{side}_median")) / F.col(f"{side}_median") * 100).otherwise(0.0)
+    own = snapshots.withColumn("ask_median", F.sort_array(F.collect_list("ask").over(before))).withColumn("bid_median", F.sort_array(F.collect_list("bid").over(before)))
+    middle = lambda x: (F.get(x, F.floor((F.size(x) - 1) / 2).cast("int")) + F.get(x, F.floor(F.size(x) / 2).cast("int"))) / 2
+    own = own.withColumn("ask_median", middle(F.col("ask_median"))).withColumn("bid_median", middle(F.col("bid_median")))
+    return own.withColumn("moved_pct", F.greatest(off("ask"), off("bid"))).drop("ask_median", "bid_median")

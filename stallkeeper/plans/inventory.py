@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stallkeeper.functions import keys as k
 from stallkeeper.functions import orderstats as o
-from stallkeeper.operators import filters, gates, index, lanes, ledger
+from stallkeeper.operators import book, filters, gates, index, lanes, ledger, positions
 from stallkeeper.plans import views
 from stallkeeper.plans.queries import _FLIPS, _POSTED, _flips, _posted, query, rounded
 from stallkeeper.plans.views import CONFIG, DAY, KEYED, LISTINGS, NOW, SALES, SNAPSHOTS, floored, table
@@ -245,3 +245,58 @@ def u4(spark, d):
 def u6(spark, d):
     have = F.concat(F.array(F.lit("a"), F.lit("b")), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("c"))))
     return table(spark, d, "part").select("p_partkey", o.multiset_contains(have, F.array(F.lit("a"), F.lit("a"))).alias("fits"))
+
+
+# Positions: the orders, each in a brand's book of the parts' prices.
+
+_STALE = positions.Stale(abandon_min=60 * 24 * 2300, reprice_min=60 * 24 * 400, keep_hours=2, stale_gap=0.2, requote_min=60 * 24 * 900, requote_gap=0.05)
+_POS = f"""pos AS (SELECT o_orderkey AS id, 'Brand#' || (1 + o_custkey % 5) || (1 + (o_custkey // 5) % 5) AS product, o_custkey % 4 AS owner, epoch(o_orderdate)::DOUBLE * 1000 AS placed_ms, 900 + o_orderkey % 1200 AS buy_price, CASE WHEN o_orderstatus = 'F' THEN epoch(o_orderdate)::DOUBLE * 1000 END AS offered_ms,
+    CASE WHEN o_orderkey % 9 > 0 THEN 1000 + o_custkey % 1100 END::DOUBLE AS ask, o_orderkey % 5 AS repriced, o_orderkey % 7 = 0 AS orphan, (o_orderkey % 40)::DOUBLE AS baseline FROM orders),
+    bids AS (SELECT p_brand AS product, p_retailprice AS price, sum(p_size)::DOUBLE AS amount FROM part GROUP BY 1, 2), book AS (SELECT product, max(price) AS best_bid, min(price) + 50 AS best_ask, sum(amount) * 9 AS weekly FROM bids GROUP BY product)"""
+
+
+def _positions(spark, d):
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    placed = views.seconds("o_orderdate") * 1000
+    return table(spark, d, "orders").select(
+        key.alias("id"), F.concat(F.lit("Brand#"), 1 + cust % 5, 1 + F.floor(cust / 5) % 5).alias("product"), (cust % 4).alias("owner"), placed.alias("placed_ms"), (900 + key % 1200).alias("buy_price"), F.when(F.col("o_orderstatus") == "F", placed).alias("offered_ms"),
+        F.when(key % 9 > 0, (1000 + cust % 1100).cast("double")).alias("ask"), (key % 5).alias("repriced"), (key % 7 == 0).alias("orphan"), (key % 40).cast("double").alias("baseline"),
+    )
+
+
+def _market(spark, d):
+    top = F.reverse(F.col("levels"))
+    amount = F.aggregate("levels", F.lit(0.0), lambda a, x: a + x["amount"])
+    return views.levels(spark, d).select("product", top.alias("bids"), (amount * 9).alias("weekly"), F.get(top, F.lit(0))["price"].alias("best_bid"), (F.get("levels", F.lit(0))["price"] + 50).alias("best_ask"))
+
+
+@query("F12_stale_buys", f"""WITH {_POS}, aged AS (SELECT *, ({NOW} * 1000.0 - placed_ms) / 60000 AS age FROM pos LEFT JOIN book USING (product) WHERE offered_ms IS NULL),
+    told AS (SELECT id, CASE WHEN age > {_STALE.abandon_min} THEN 'abandoned' WHEN age >= {_STALE.reprice_min} AND best_bid > buy_price AND NOT ((best_bid - buy_price) / buy_price <= {_STALE.stale_gap} AND weekly > 0 AND coalesce((SELECT sum(amount) FROM bids b WHERE b.product = aged.product AND b.price > buy_price), 0) <= weekly / 168.0 * {_STALE.keep_hours}) THEN 'outbid' END AS reason FROM aged)
+    SELECT id, reason FROM told WHERE reason IS NOT NULL""")
+def f12_buys(spark, d):
+    return positions.stale_buys(_positions(spark, d), _market(spark, d), NOW * 1000.0, _STALE).select("id", "reason")
+
+
+@query("F12_stale_sells", f"""WITH {_POS}, j AS (SELECT *, (ceil(best_ask * 10) - 1) / 10 AS front FROM pos JOIN book USING (product) WHERE offered_ms IS NOT NULL AND ask IS NOT NULL)
+    SELECT id, front FROM j WHERE repriced < {_STALE.requotes} AND ({NOW} * 1000.0 - offered_ms) / 60000 >= {_STALE.requote_min} AND front < ask * {1 - _STALE.requote_gap} AND (orphan OR front >= buy_price / {1 - _STALE.tax})""")
+def f12_sells(spark, d):
+    return positions.stale_sells(_positions(spark, d), _market(spark, d), NOW * 1000.0, _STALE).select("id", "front")
+
+
+_HELD = "held AS (SELECT s_suppkey % 4 AS owner, 'Brand#' || (1 + s_suppkey % 5) || (1 + (s_suppkey // 5) % 5) AS product, sum(floor(s_acctbal / 100))::DOUBLE AS units FROM supplier GROUP BY 1, 2)"
+
+
+@query("J15_positions_and_stock", f"WITH {_POS}, {_HELD}, most AS (SELECT product, arg_max(owner, (units, owner)) AS holder FROM held WHERE units >= 1 GROUP BY product) SELECT id, best_bid, best_ask, holder, greatest(coalesce(units, 0) - baseline, 0) AS own_units FROM pos LEFT JOIN book USING (product) LEFT JOIN held USING (owner, product) LEFT JOIN most USING (product)")
+def j15(spark, d):
+    key = F.col("s_suppkey")
+    held = table(spark, d, "supplier").select((key % 4).alias("owner"), F.concat(F.lit("Brand#"), 1 + key % 5, 1 + F.floor(key / 5) % 5).alias("product"), F.floor(F.col("s_acctbal") / 100).cast("double").alias("units"))
+    return positions.with_stock(_positions(spark, d), _market(spark, d), held).select("id", "best_bid", "best_ask", "holder", "own_units")
+
+
+# Prices that moved from their own median.
+
+
+@query("price_moves", f"""WITH {SNAPSHOTS}, b AS (SELECT s.product, s.ts, s.ask, s.bid, median(p.ask) AS ask_median, median(p.bid) AS bid_median FROM snapshots s LEFT JOIN snapshots p ON p.product = s.product AND p.ts >= s.ts - 14400 AND p.ts < s.ts GROUP BY ALL)
+    SELECT product, ts, round(greatest(CASE WHEN ask_median > 0 THEN abs(ask - ask_median) / ask_median * 100 ELSE 0 END, CASE WHEN bid_median > 0 THEN abs(bid - bid_median) / bid_median * 100 ELSE 0 END), 6) AS moved_pct FROM b""")
+def price_moves(spark, d):
+    return book.moved(views.snapshots(spark, d), 4 * 3600).select("product", "ts", F.round("moved_pct", 6).alias("moved_pct"))

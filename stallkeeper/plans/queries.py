@@ -98,8 +98,8 @@ def k3(spark, d):
 @query("K4_prune_old", f"WITH {SNAPSHOTS} SELECT product, count(*) AS n FROM snapshots WHERE ts >= (SELECT max(ts) FROM snapshots) - {7 * DAY} GROUP BY product")
 def k4(spark, d):
     own = views.snapshots(spark, d)
-    cutoff = own.agg(F.max("ts")).first()[0] - 7 * DAY
-    return own.where(F.col("ts") >= cutoff).groupBy("product").agg(F.count("*").alias("n"))
+    last = own.agg(F.max("ts").alias("last"))  # one row, without snapshots null
+    return own.join(F.broadcast(last)).where(F.col("ts") >= F.col("last") - 7 * DAY).groupBy("product").agg(F.count("*").alias("n"))
 
 
 @query("K7_first_sightings", f"WITH {SALES} SELECT item, floor(price / 1000)::BIGINT AS price, min(sold_at) AS at, arg_min(sale_id, (sold_at, sale_id)) AS sale_id FROM sales GROUP BY 1, 2")
@@ -621,8 +621,8 @@ def x1(spark, d):
     bins = test.where("err is not null").groupBy("err").agg(F.count("*").alias("c"))
     whole = test.agg(F.count("*").alias("n"), F.count("est").alias("covered"), F.count(F.when(F.col("est") > F.col("price") * 1.3, 1)).alias("over")).first()
     places = [int((whole.covered - 1) * q) for q in (0.5, 0.75, 0.9)]
-    values = quantiles(bins, "err", "c", places)
-    return spark.createDataFrame([(whole.n, whole.covered, *(round(x, 6) for x in values), whole.over)], "n long, covered long, p50 double, p75 double, p90 double, over long")
+    values = quantiles(bins, "err", "c", places) if whole.covered else [None] * 3
+    return spark.createDataFrame([(whole.n, whole.covered, *(None if x is None else round(x, 6) for x in values), whole.over)], "n long, covered long, p50 double, p75 double, p90 double, over long")
 
 
 def quantiles(bins: DataFrame, value: str, count: str, places: list[int], parts: int = 64) -> list[float]:

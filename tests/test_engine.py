@@ -28,14 +28,24 @@ def test_percentile_rules(spark):
     assert value(spark, o.upper_median(xs)) == 4.0
 
 
-@pytest.mark.parametrize(("through", "factor"), [(None, 1.0), (0.70, 1.0), (0.50, 0.94), (0.35, 0.895), (0.25, 0.865), (0.02, 0.85)])
-def test_liquidity_factor(spark, through, factor):
-    assert value(spark, v.liquidity_factor(F.lit(through).cast("double"))) == pytest.approx(factor)
-
-
-def test_big_ticket(spark):
-    big = lambda n, vol, bar: value(spark, v.big_ticket(F.lit(960e6), F.lit(1028.9e6), F.lit(n), F.lit(vol), bar, 0.04))
-    assert big(40, 10.0, 25e6) and not big(3, 0.5, 25e6) and not big(40, 10.0, 0)
+@pytest.mark.parametrize("through", [None, 0.0, 0.1, 0.45, 0.69, 0.71, 1.0])
+def test_liquidity_factor(spark, through):
+    """Linear below the pivot, between the floor and 1."""
+    expected = 1.0 if through is None else max(0.6, min(1.0, 1 - 0.5 * (0.7 - through)))
+    assert value(spark, v.liquidity_factor(F.lit(through).cast("double"), 0.7, 0.5, 0.6)) == pytest.approx(expected)
+
+
+@pytest.mark.parametrize(
+    ("buy", "resale", "n", "per_day", "bar", "margin", "passes"),
+    [
+        (80e6, 110e6, 15, 2.0, 20e6, 0.25, True),
+        (80e6, 110e6, 15, 2.0, 20e6, 0.28, False),  # 30 of 110 lie between; after tax and over cost it would be 34 percent
+        (95e6, 110e6, 15, 2.0, 5e6, 0.13, True),  # 13.6 percent before tax, 12.9 over cost after it
+        (80e6, 110e6, 9, 2.0, 20e6, 0.25, False), (80e6, 110e6, 15, 0.9, 20e6, 0.25, False), (80e6, 110e6, 15, 2.0, 28e6, 0.25, False), (80e6, 110e6, 15, 2.0, 0.0, 0.25, False), (0.0, 110e6, 15, 2.0, 1.0, 0.0, False), (-5.0, 0.0, 15, 2.0, 1.0, 0.0, False),
+    ],
+)
+def test_big_ticket(spark, buy, resale, n, per_day, bar, margin, passes):
+    assert value(spark, v.big_ticket(F.lit(buy), F.lit(resale), F.lit(n), F.lit(per_day), bar, margin)) is passes
 
 
 def test_keys(spark):
