@@ -45,28 +45,48 @@ def signatures(features: DataFrame) -> DataFrame:
     return features.groupBy("bk").agg(F.array_join(F.array_sort(F.collect_set("feature")), ";").alias("signature"))
 
 
-def key_stats(sales: DataFrame, now: float, c: Pricing, key: str = "fk") -> DataFrame:
-    """Price statistics per key over its ref_cap newest sales, each seller's cheapest only."""
+def key_stats(
+    sales: DataFrame, now: float, c: Pricing, key: str = "fk", widen: tuple[float, ...] = (), trends: DataFrame | None = None, caps: DataFrame | None = None, sell_through: DataFrame | None = None
+) -> DataFrame:
+    """Price statistics per key over its ref_cap newest sales, each seller's cheapest only.
+
+    The recent price is the median of the last short_hours, or of the first of the windows widen (hours, ascending) that
+    holds 3 sales. Where none does, a falling trend of the base key lowers the long-term price, if trends (bk, trend_pct)
+    are given. caps (key, cap) bound the target by what better items sell for; items that often stay unsold are discounted by
+    sell_through (item, sell_through). A key's sales are shuffled once."""
     capped = o.newest(sales, [key], ["sold_at", "sale_id"], c.ref_cap)
-    floor = o.seller_floor(capped, [key], ["sale_id"])
-    share = capped.groupBy(key, "seller").agg(F.count("*").alias("c"))
-    share = share.groupBy(key).agg(F.sum("c").alias("raw"), F.max(F.when(F.coalesce("seller", F.lit("")) != "", F.col("c")).otherwise(0)).alias("top"))
-    recent = F.col("sold_at") >= now - c.short_hours * 3600
-    stats = floor.groupBy(key).agg(
-        F.count("*").alias("samples"), F.median("price").alias("long_term"), F.count(F.when(recent, 1)).alias("n_recent"), F.median(F.when(recent, F.col("price"))).alias("recent"),
-        F.stddev_pop("price").alias("sd"), o.sorted_list("price").alias("prices"), o.span_days("sold_at", c.max_age_days).alias("span"), F.max("sold_at").alias("last"),
-    )  # ref_cap rows at most
-    stats = stats.where(F.col("samples") >= c.min_refs).join(share, key)
-    short = F.when(F.col("n_recent") >= 3, F.col("recent")).otherwise(F.col("long_term"))
+    named = F.coalesce("seller", F.lit("")) != ""
+    who = F.when(named, F.col("seller")).otherwise(F.concat(F.lit("#/"), "sale_id"))
+    extra = [x for x, table in (("bk", trends), ("item", sell_through)) if table is not None and x != key]  # a key has one of each
+    per = capped.groupBy(key, named.alias("named"), who.alias("who")).agg(F.min(F.struct("price", (-F.col("sold_at")).alias("t"))).alias("b"), F.count("*").alias("c"), *(F.min(x).alias(x) for x in extra))
+    per = per.select(key, "named", "c", F.col("b.price").alias("price"), (-F.col("b.t")).alias("sold_at"), *extra)
+    inside = [F.col("sold_at") >= now - h * 3600 for h in (c.short_hours, *widen)]
+    recent = F.coalesce(*(F.when(F.count(F.when(x, 1)) >= 3, F.median(F.when(x, F.col("price")))) for x in inside))
+    stats = per.groupBy(key).agg(
+        F.count("*").alias("samples"), F.median("price").alias("long_term"), recent.alias("recent"), F.stddev_pop("price").alias("sd"), o.sorted_list("price").alias("prices"), o.span_days("sold_at", c.max_age_days).alias("span"),
+        F.max("sold_at").alias("last"), F.sum("c").alias("raw"), F.max(F.when(F.col("named"), F.col("c")).otherwise(0)).alias("top"), *(F.min(x).alias(x) for x in extra),
+    ).where(F.col("samples") >= c.min_refs)  # ref_cap rows at most
+    base = F.lit(None).cast("double")
+    if trends is not None:
+        stats = stats.join(trends.select("bk", F.col("trend_pct").alias("__base")), "bk", "left")
+        base = F.when(F.col("recent").isNull() & (F.col("__base") < 0), F.col("__base"))
+    short = F.coalesce("recent", F.col("long_term") * (1 + base), "long_term")
+    target = F.least(short, "long_term")
+    if caps is not None:
+        stats = stats.join(caps.select(key, "cap"), key, "left")
+        target = F.least(target, "cap")
+    if sell_through is not None:
+        stats = stats.join(sell_through.select("item", "sell_through"), "item", "left")
+        target = target * v.liquidity_factor(F.col("sell_through"))
     volatility = F.when(F.col("long_term") > 0, F.least(F.col("sd") / F.col("long_term"), F.lit(1.0))).otherwise(1.0)
     per_day = F.col("samples") / F.col("span")
     manipulated = F.col("top") / F.col("raw") >= c.manipulated_share
     quartiles = o.rank_percentile(F.col("prices"), 0.75) - o.rank_percentile(F.col("prices"), 0.25)
     return stats.select(
-        key, F.least(short, "long_term").alias("target"), "samples", per_day.alias("volume_per_day"), F.when(F.col("long_term") > 0, quartiles / F.col("long_term")).otherwise(1.0).alias("spread_pct"),
+        key, target.alias("target"), "samples", per_day.alias("volume_per_day"), F.when(F.col("long_term") > 0, quartiles / F.col("long_term")).otherwise(1.0).alias("spread_pct"),
         F.element_at("prices", 1).alias("lowest_ref"), F.element_at("prices", -1).alias("highest_ref"), F.greatest((F.lit(now) - F.col("last")) / 3600.0, F.lit(0.0)).alias("last_sold_ago_h"),
         v.pool_confidence(F.col("samples"), volatility, per_day, manipulated).alias("confidence"), volatility.alias("volatility"), manipulated.alias("manipulated"),
-        F.when((F.col("n_recent") >= 3) & (F.col("long_term") > 0), (short - F.col("long_term")) / F.col("long_term")).otherwise(0.0).alias("trend_pct"),
+        F.when(F.col("recent").isNotNull() & (F.col("long_term") > 0), (short - F.col("long_term")) / F.col("long_term")).otherwise(F.coalesce(base, F.lit(0.0))).alias("trend_pct"),
     )
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from stallkeeper.plans import inventory, queries  # noqa: F401 (inventory registers more)
+from stallkeeper.plans import inventory, pricing, queries  # noqa: F401 (the others register more)
 
 DIR = "/root/testdata/sf0.001"
 
