@@ -43,20 +43,31 @@ def term_hashes(text: str | bytes | None) -> np.ndarray:
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard of a partition's documents."""
+    """One shard of a partition's documents. Each text is counted at once, so no more than its different words are kept."""
     ids: list[int] = []
-    hashes: list[np.ndarray] = []
+    lengths: list[int] = []
+    words: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
     for batch in batches:
         ids += batch.column(0).to_pylist()
-        hashes += map(term_hashes, batch.column(1).cast(pa.binary()).to_pylist())
+        for text in batch.column(1).cast(pa.binary()):
+            found = term_hashes(text.as_py())
+            own, n = np.unique(found, return_counts=True)
+            lengths.append(len(found))
+            words.append(own)
+            counts.append(n.astype(np.int32))
     if not ids:
         return
-    lengths = np.array([len(h) for h in hashes], np.int64)
-    terms, of = np.unique(np.concatenate(hashes), return_inverse=True)
-    hashes.clear()
-    both, counts = np.unique(of * len(ids) + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
-    frequencies = np.bincount(both // len(ids), minlength=len(terms))
-    row = [(np.array(ids), pa.int64()), (lengths, pa.int32()), (terms, pa.int64()), (frequencies, pa.int32()), (both % len(ids), pa.int32()), (counts, pa.int32())]
+    postings = np.repeat(np.arange(len(ids), dtype=np.int32), [len(w) for w in words])
+    every = np.concatenate(words)
+    words.clear()
+    order = np.argsort(every, kind="stable")  # a term's documents stay in their order
+    every, postings = every[order], postings[order]
+    times = np.concatenate(counts)[order]
+    counts.clear()
+    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
+    frequencies = np.diff(np.append(starts, len(every)))
+    row = [(np.array(ids), pa.int64()), (np.array(lengths), pa.int32()), (every[starts], pa.int64()), (frequencies, pa.int32()), (postings, pa.int32()), (times, pa.int32())]
     lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, k)) for v, k in row]
     yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *lists], ["shard", *PARTS])
 
