@@ -11,6 +11,7 @@ from stallkeeper.operators import book, filters, gates, index, lanes, ledger, po
 from stallkeeper.plans import views
 from stallkeeper.plans.queries import _FLIPS, _POSTED, _flips, _posted, query, rounded
 from stallkeeper.plans.views import CONFIG, DAY, KEYED, LISTINGS, NOW, SALES, SNAPSHOTS, floored, table
+from stallkeeper.sources.tables import materialised
 
 _ROWS = "rows AS (SELECT sale_id AS uuid, quantity % 3 <> 0 AS bin, CASE WHEN quantity % 11 = 0 THEN 0 ELSE price END AS price, CASE WHEN quantity % 7 = 0 THEN '' ELSE 'x' END AS item_bytes, order_id FROM sales)"
 
@@ -124,8 +125,9 @@ def f15(spark, d):
 
 @query("J1_price_lookup", f"WITH {LISTINGS} SELECT uuid, target, samples FROM listings LEFT JOIN stats USING (fk)")
 def j1(spark, d):
-    stats = index.key_stats(views.keyed_sales(spark, d), NOW, CONFIG)
-    return views.listings(spark, d).join(stats.select("fk", "target", "samples"), "fk", "left").select("uuid", "target", "samples")
+    own = views.keyed_sales(spark, d)
+    stats = index.key_stats(own, NOW, CONFIG)
+    return views.listings_of(own).join(stats.select("fk", "target", "samples"), "fk", "left").select("uuid", "target", "samples")
 
 
 @query("J3_significant_tokens", f"WITH {KEYED} SELECT sale_id, count(*) AS n FROM feats JOIN sig USING (bk, feature) GROUP BY sale_id")
@@ -190,9 +192,10 @@ def a11(spark, d):
 
 @query("A19_binding_floor", f"WITH {LISTINGS}, l AS (SELECT uuid, listings.bk, unnest(listings.features) AS feature, target FROM listings JOIN stats USING (fk)) SELECT uuid, min(median) AS floor FROM l JOIN groups USING (bk, feature) WHERE median < target * (1 - 0.1) GROUP BY uuid")
 def a19(spark, d):
-    stats = index.key_stats(views.keyed_sales(spark, d), NOW, CONFIG)
-    own = views.listings(spark, d).join(stats.select("fk", "target"), "fk")
-    return index.binding_feature_floor(own, index.feature_groups(views.sales(spark, d)), 0.1)
+    own = views.keyed_sales(spark, d)
+    stats = materialised(index.key_stats(own, NOW, CONFIG).select("fk", "target"), "stats")
+    groups = materialised(index.feature_groups(own), "groups")
+    return index.binding_feature_floor(views.listings_of(own).join(stats, "fk"), groups, 0.1)
 
 
 @query("A26_funnel", f"WITH {SALES}, {_ROWS} SELECT CASE WHEN NOT bin THEN 'bids' WHEN price <= 0 THEN 'price' WHEN item_bytes = '' THEN 'bytes' ELSE 'passed' END AS reason, count(*) AS n FROM rows GROUP BY 1")
