@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TTS_MOST_MS = 14 * 86_400_000
+#: Rows that a task sorts or gathers by their id.
+TASK_ROWS = 500_000
 
 
-def insert_sold(existing: DataFrame, incoming: DataFrame, listings: DataFrame) -> tuple[DataFrame, DataFrame]:
+def tasks_for(rows: int) -> int:
+    return rows // TASK_ROWS + 1
+
+
+def insert_sold(existing: DataFrame, incoming: DataFrame, listings: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """New rows of incoming (sale_id, sold_at s, ...) with tts_ms from listings (sale_id, start ms), where it lies between 0
-    and 14 days; and the listings that are left."""
+    and 14 days; and the listings that are left. tasks: among how many tasks ids are dealt before they are gathered and
+    joined, so that the memory of one doesn't grow with the rows."""
+    if tasks:
+        existing, incoming, listings = (x.repartition(tasks, "sale_id") for x in (existing, incoming, listings))
     new = incoming.dropDuplicates(["sale_id"]).join(existing.select("sale_id"), "sale_id", "left_anti")
     tts = F.col("sold_at") * 1000 - F.col("start")
     timed = new.join(listings.select("sale_id", "start"), "sale_id", "left").withColumn("tts_ms", F.when(tts.between(0, TTS_MOST_MS), tts)).drop("start")
