@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallkeeper.sources.tables import materialised
+
 BUCKETS = 256
 RADIX_BITS = 4
 
@@ -64,10 +66,12 @@ def counts_within(values: DataFrame, probes: DataFrame, x: str, x_at: str, y: st
     Different x are numbered in order, and the numbers cut into blocks of 16, 256 and so on. The x that a probe takes in are
     some whole blocks of each size, fewer than 16, and in each block its y are counted in order."""
     points = values.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("c"))
-    places = points.select("x").distinct()
-    ranked = counts_below(places, points, [], "x", "x").select("y", "c", F.col("below").alias("rank"), F.col("of").alias("places"))
-    asked = counts_below(values.where(F.col(y).isNotNull()), probes, [], x, x_at, inclusive=True).withColumnRenamed("below", "upto")
+    points = materialised(points, "points")  # values are read once; different points, their ranks and what is asked are written
+    places = materialised(points.select("x").distinct(), "places")
+    ranked = materialised(counts_below(places, points, [], "x", "x").select("y", "c", F.col("below").alias("rank")), "ranked")
+    asked = counts_below(points, probes, [], "x", x_at, inclusive=True, weight="c").withColumnRenamed("below", "upto")
     asked = counts_below(places, asked.withColumnRenamed("of", "__of"), [], "x", x_at, inclusive=True).withColumnRenamed("below", "__r").withColumnRenamed("of", "__places").withColumnRenamed("__of", "of")
+    asked = materialised(asked, "asked")
     most = places.count()
     levels = range(max(1, -(-most.bit_length() // RADIX_BITS)))
     block = lambda rank, level: F.shiftright(rank, RADIX_BITS * level)
