@@ -23,3 +23,16 @@ def test_readers_of_keyed_sales_do_not_learn_keys_again(spark):
     learned = index.significant(index.feature_groups(own), index.base_stats(own), views.CONFIG)
     plan = index.with_final_key(own, learned)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Window" not in plan
+
+
+def test_sales_are_neither_exploded_nor_sorted_to_shuffle_features(spark, monkeypatch):
+    monkeypatch.setattr(index, "feature_groups", lambda *_: pytest.fail("medians of every feature"))
+    assert views.keyed_sales(spark, DIR).where("fk <> bk").count() > 0
+
+
+def test_targets_read_sales_once(spark, monkeypatch):
+    made, sales, names, write = [], views.sales, [], pricing.materialised
+    monkeypatch.setattr(views, "sales", lambda *args: made.append(args) or sales(*args))
+    monkeypatch.setattr(pricing, "materialised", lambda df, name, **how: names.append(name) or write(df, name, **how))
+    queries.QUERIES["A9_targets"](spark, DIR)
+    assert len(made) == 1 and "keyed" not in names
